@@ -28,7 +28,7 @@ def _valued(text: Column) -> Column:
     """The text with placeholders for names, numbers and units, each with =value. Patterns that few texts need run on those alone."""
     t = F.coalesce(text, F.lit(""))
     t = F.when(F.contains(t, F.lit("=")) | F.contains(t, F.lit("§")) | F.contains(t, F.lit("_")), F.translate(t, "=§_", "   ")).otherwise(t)
-    number = r"[0-9]++(?<![\p{L}\p{N}][0-9]{1,40})(?:[.,:/][0-9]++)*+(?![\p{L}\p{N}])"
+    number = r"(?=[0-9])(?<![\p{L}\p{N}])[0-9]++(?:[.,:/][0-9]++)*+(?![\p{L}\p{N}])"
     unit = rf"(?i)(§n=[0-9.,:/]++\x20)({'|'.join(UNITS.split())})(?![\p{{L}}\p{{N}}])"
     valued = F.regexp_replace(F.regexp_replace(t, number, "§n=$0"), unit, "$1§u=$2")
     t = F.when(F.regexp(t, F.lit("[0-9]")), F.regexp_replace(valued, r"(?<=[0-9])[.,:/](?=[0-9])", "_")).otherwise(t)
