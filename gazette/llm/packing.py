@@ -28,9 +28,10 @@ from gazette.llm.common import materialize, table
 
 END_ID = 2
 #: Unicode white space, as the pre-tokeniser's \s. A pre-token never spans from other characters to white space.
-_WS = "\t-\r \x85\xa0  -     　"
+_WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNIT = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
-_LETTERS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Units that split into a line end, one word and punctuation, each a pre-token; an apostrophe may open a contraction.
+_WORD = re.compile(r"(\n?)( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#|]*)")
 _state: dict = {}
 
 
@@ -52,20 +53,23 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         self.letters = _byte_letters()
 
-    def learn(self, units: set[str]) -> None:
-        if len(self.known) > self.LIMIT:
-            self.known.clear()
-        rest, one = [], self.tokenizer.model.tokenize
+    def _body(self, word: str) -> bytes:
+        """Ids of one word of letters, with or without a space before it."""
+        if (found := self.known.get(word)) is None:
+            ids = [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+            found = self.known[word] = np.array(ids, "<u4").tobytes()
+        return found
+
+    def _learn(self, units: set[str]) -> None:
         for u in units:
-            if _LETTERS.fullmatch(u):
-                ids = [t.id for t in one(u.encode().decode("latin-1").translate(self.letters))]
-                self.known[u] = np.array(ids, "<u4").tobytes()
+            if m := _WORD.fullmatch(u):
+                line, word, marks = m.groups()
+                self.known[u] = (self.plain(line) if line else b"") + self._body(word) + (self.plain(marks) if marks else b"")
             else:
-                rest.append(u)
-        for u, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.known[u] = np.array(e.ids, "<u4").tobytes()
+                self.known[u] = self.encode(u)
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -74,10 +78,20 @@ class Tokens:
         try:
             return b"".join([known[u] for u in units])
         except KeyError:
-            self.learn({u for u in units if u not in known})
-            return b"".join([self.known[u] for u in units]) if len(self.known) >= len(units) or all(u in self.known for u in units) else self.plain(text)
+            if len(known) > self.LIMIT:
+                known.clear()
+            self._learn({u for u in units if u not in known})
+            return b"".join([known[u] for u in units])
+
+    def plain(self, mark: str) -> bytes:
+        """encode() of a few short strings that come again and again."""
+        if (found := self.marks.get(mark)) is None:
+            found = self.encode(mark)
+            if len(self.marks) < 10_000:
+                self.marks[mark] = found
+        return found
 
-    def plain(self, text: str) -> bytes:
+    def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
