@@ -101,8 +101,15 @@ def http_parts(block: bytes) -> tuple[dict[str, str], bytes, bytes]:
     return fields, head + sep, payload
 
 
-def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """url, date, mime, page_id, head, html, payload_bytes, sha1 of each document."""
+def _batch(rows: list, names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+
+
+def read_arc(spark: SparkSession, path: str, contents: bool = True) -> DataFrame:
+    """page_id, payload_bytes, sha1 of each document, and with contents also url, date, mime, head, html."""
+    names = ["page_id", "payload_bytes", "sha1", *(["url", "date", "mime", "head", "html"] if contents else [])]
+    kinds = [pa.int64(), pa.int64(), *[pa.string()] * (len(names) - 2)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -111,35 +118,30 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
                 for r in arc_records(_blob(data)):
                     fields, head, payload = http_parts(r["block"])
                     page = fields.get("X-Page-Id")
-                    rows.append((r["URL"], r["Archive-date"], r["Content-type"], int(page) if page else None, head.decode(), payload.decode(), len(payload), hashlib.sha1(payload).hexdigest()))
+                    row = (int(page) if page else None, len(payload), hashlib.sha1(payload).hexdigest())
+                    rows.append((*row, r["URL"], r["Archive-date"], r["Content-type"], head.decode(), payload.decode()) if contents else row)
                     if len(rows) == 500:
-                        yield batch(rows)
+                        yield _batch(rows, names, kinds)
                         rows = []
-                yield batch(rows)
-
-    names = ["url", "date", "mime", "page_id", "head", "html", "payload_bytes", "sha1"]
-    kinds = [pa.string()] * 3 + [pa.int64()] + [pa.string()] * 2 + [pa.int64(), pa.string()]
-
-    def batch(rows: list) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) or [[]] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+                yield _batch(rows, names, kinds)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(run, "url string, date string, mime string, page_id long, head string, html string, payload_bytes long, sha1 string")
+    return files.mapInArrow(run, "page_id long, payload_bytes long, sha1 string" + ", url string, date string, mime string, head string, html string" * contents)
 
 
 def record_id(url: str, date: str, page: int | None, sha1: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {page} {sha1}')}>"
+    """Of the page and its payload; without a page id of the place and time."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {sha1}' if page is None else f'{page} {sha1}')}>"
 
 
 def _b32(hex_digest: str) -> str:
     return "sha1:" + base64.b32encode(bytes.fromhex(hex_digest)).decode()
 
 
-def write_warc(documents: DataFrame, path: str, least: int = 1000) -> None:
-    """The documents of read_arc as WARC archives."""
-    best = documents.where(F.col("payload_bytes") >= least).groupBy("sha1").agg(F.max("page_id").alias("target"), F.max_by("url", F.coalesce("page_id", F.lit(-(1 << 63)))).alias("target_url"), F.max_by("date", F.coalesce("page_id", F.lit(-(1 << 63)))).alias("target_date"), F.count("*").alias("holders"))
-    best = best.where("holders > 1").select(F.col("sha1").alias("__sha1"), "target", "target_url", "target_date")
+def write_warc(documents: DataFrame, digests: DataFrame, path: str, least: int = 1000) -> None:
+    """The documents of read_arc as WARC archives; digests: the same without contents."""
+    best = digests.where(F.col("payload_bytes") >= least).groupBy("sha1").agg(F.max("page_id").alias("target"), F.count("*").alias("holders"))
+    best = best.where("holders > 1").select(F.col("sha1").alias("__sha1"), "target")
     rows = documents.join(best, (F.col("sha1") == F.col("__sha1")) & (F.col("payload_bytes") >= least), "left").drop("__sha1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,8 +163,7 @@ def write_warc(documents: DataFrame, path: str, least: int = 1000) -> None:
                 if revisit:
                     head |= {
                         "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-                        "WARC-Refers-To": record_id(r["target_url"], r["target_date"], r["target"], r["sha1"]),
-                        "WARC-Refers-To-Target-URI": r["target_url"],
+                        "WARC-Refers-To": record_id("", "", r["target"], r["sha1"]),
                         "X-Refers-To-Page-Id": str(r["target"]),
                     }
                 head |= {"X-Payload-Length": str(r["payload_bytes"]), "Content-Type": "application/http; msgtype=response", "Content-Length": str(len(data))}
@@ -207,13 +208,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     page, to = http.get("X-Page-Id"), fields.get("X-Refers-To-Page-Id")
                     rows.append((int(page) if page else None, size, digest, kind, int(to) if to else None, fields["WARC-Record-ID"], fields["WARC-Target-URI"], fields["WARC-Date"], payload.decode() if kind == "response" else None))
                     if len(rows) == 500:
-                        yield batch(rows)
+                        yield _batch(rows, names, kinds)
                         rows = []
-                yield batch(rows)
-
-    def batch(rows: list) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) or [[]] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+                yield _batch(rows, names, kinds)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, url string, date string, html string")
@@ -221,7 +218,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 def convert(spark: SparkSession, arc: str, warc: str, least: int = 1000) -> None:
     """ARC archives under one path to WARC archives under another."""
-    write_warc(read_arc(spark, arc), warc, least)
+    write_warc(read_arc(spark, arc), read_arc(spark, arc, contents=False), warc, least)
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
