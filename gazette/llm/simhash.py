@@ -27,6 +27,8 @@ from gazette.llm.common import materialize, table
 from gazette.llm.components import components
 
 SEED = 42
+#: Pairs of fingerprints that are compared at once inside a task (some 10 MB with all that follows from them).
+_CELLS = 200_000
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -87,17 +89,31 @@ def tree_links(points: np.ndarray, radius: int, leaf: int = 48) -> list[tuple[in
                 sets.parent[max(ra, rb)] = min(ra, rb)
                 out.append((a, b))
 
-    def across(i: np.ndarray, j: np.ndarray) -> None:
-        """Links between two groups, in blocks of bounded memory; points that are joined already are passed over."""
-        step = max(1, 2_000_000 // max(len(j), 1))
-        for s in range(0, len(i), step):
-            a = i[s : s + step]
-            x, y = np.nonzero(np.bitwise_count(points[a][:, None] ^ points[j][None, :]) <= radius)
-            if len(x):
-                ra, rb = sets.roots(a[x]), sets.roots(j[y])
+    def compare(i: np.ndarray, j: np.ndarray) -> None:
+        """Links between two groups, in blocks of bounded memory."""
+        if not len(i) or not len(j):
+            return
+        wide, high = min(len(j), _CELLS), max(1, _CELLS // len(j))
+        for s in range(0, len(i), high):
+            for t in range(0, len(j), wide):
+                a, c = i[s : s + high], j[t : t + wide]
+                x, y = np.nonzero(np.bitwise_count(points[a][:, None] ^ points[c][None, :]) <= radius)
+                ra, rb = sets.roots(a)[x], sets.roots(c)[y]
                 new = ra != rb
-                _, one = np.unique(np.stack([np.minimum(ra, rb), np.maximum(ra, rb)])[:, new], axis=1, return_index=True)
-                link(a[x][new][one], j[y][new][one])
+                if new.any():
+                    lo, hi = np.minimum(ra[new], rb[new]), np.maximum(ra[new], rb[new])
+                    _, one = np.unique(lo * len(points) + hi, return_index=True)
+                    link(a[x[new]][one], c[y[new]][one])
+
+    def across(i: np.ndarray, j: np.ndarray) -> None:
+        """Links between two groups. Points of the component that holds most of them are joined already and are not held against each other."""
+        if not len(i) or not len(j):
+            return
+        ri, rj = sets.roots(i), sets.roots(j)
+        roots, n = np.unique(np.concatenate([ri, rj]), return_counts=True)
+        most = roots[n.argmax()]
+        compare(i[ri != most], j)
+        compare(i[ri == most], j[sets.roots(j) != sets.root(int(most))])
 
     todo = [np.arange(len(points))]
     while todo:
@@ -107,6 +123,8 @@ def tree_links(points: np.ndarray, radius: int, leaf: int = 48) -> list[tuple[in
                 across(at, at)
             continue
         far = np.bitwise_count(points[at] ^ points[at[0]]).astype(np.int64)
+        near = at[(far <= radius) & (far > 0)]
+        link(np.full(len(near), at[0]), near)
         # the vantage point is the one farthest from the first: distances to it spread most
         vantage = at[int(far.argmax())]
         far = np.bitwise_count(points[at] ^ points[vantage]).astype(np.int64)
