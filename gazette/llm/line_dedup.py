@@ -15,6 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gazette.llm.common import materialize, table
+
+#: Lines (a hash and a position, some 50 bytes) up to which they are broadcast; beyond, the join shuffles, salted.
+BROADCAST_ROWS = 200_000
+#: Parts into which the shuffled join deals the occurrences of each line.
+SALTS = 32
+
 
 def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
@@ -27,7 +34,15 @@ def _occurrences(docs: DataFrame, min_words: int) -> DataFrame:
     return lines.where(spaces >= min_words - 1).select("__id", "__site", "__pos", _key(F.col("__line")).alias("__h"))
 
 
-def boilerplate_lines(docs: DataFrame, min_sites: int = 10, min_words: int = 4, lg_k: int = 10, margin: float = 0.2) -> DataFrame:
+def _meet(occ: DataFrame, lines: DataFrame, most: int) -> DataFrame:
+    """The occurrences of some lines (a written table): by broadcast up to most lines, else dealt out by line and salt, so that no task gets a common line whole."""
+    if lines.count() <= most:
+        return occ.join(F.broadcast(lines), "__h")
+    salted = lines.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return occ.withColumn("__salt", F.pmod(F.xxhash64("__id", "__pos"), F.lit(SALTS)).cast("int")).join(salted, ["__h", "__salt"]).drop("__salt")
+
+
+def boilerplate_lines(docs: DataFrame, min_sites: int = 10, min_words: int = 4, lg_k: int = 10, margin: float = 0.2, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """__h, __first (struct of id and position) of lines on at least min_sites distinct sites.
 
     margin: a share of min_sites around it within which the exact count decides; over six standard
@@ -38,22 +53,20 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = 10, min_words: int = 4,
         F.hll_sketch_estimate(F.hll_sketch_agg("__site", F.lit(lg_k))).alias("__est"),
         F.min(F.struct("__id", "__pos")).alias("__first"),
     )
-    spread = spread.where(F.col("__est") >= min_sites * (1 - margin))
+    spread = materialize(spread.where(F.col("__est") >= min_sites * (1 - margin)), "spread")
     sure = spread.where(F.col("__est") > min_sites * (1 + margin)).select("__h", "__first")
     near = spread.where(F.col("__est") <= min_sites * (1 + margin)).select("__h", "__first")
     exact = (
-        occ.join(near, "__h").groupBy("__h", "__first", "__site").agg(F.lit(1).alias("__one"))
+        _meet(occ, near, broadcast_rows).groupBy("__h", "__first", "__site").agg(F.lit(1).alias("__one"))
         .groupBy("__h", "__first").agg(F.count("__site").alias("__n")).where(F.col("__n") >= min_sites).select("__h", "__first")
     )
     return sure.unionByName(exact)
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = 10, min_words: int = 4, lg_k: int = 10, margin: float = 0.2, counts: bool = False) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, min_sites: int = 10, min_words: int = 4, lg_k: int = 10, margin: float = 0.2, counts: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs with boilerplate lines taken out of text; counts adds n_lines and n_removed (long)."""
-    from gazette.llm.common import materialize
-
-    boiler = materialize(boilerplate_lines(docs, min_sites, min_words, lg_k, margin), "boilerplate")
-    occ = _occurrences(docs, min_words).join(boiler, "__h")
+    boiler = materialize(boilerplate_lines(docs, min_sites, min_words, lg_k, margin, broadcast_rows), "boilerplate")
+    occ = _meet(_occurrences(docs, min_words), boiler, broadcast_rows)
     first = (F.col("__first.__id").eqNullSafe(F.col("__id"))) & (F.col("__first.__pos") == F.col("__pos"))
     drops = occ.groupBy("__id").agg(F.collect_set("__h").alias("__drop"), F.collect_set(F.when(first, F.col("__pos"))).alias("__keep"))
     lines = F.split("text", "\n")
@@ -70,8 +83,6 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, min_words: int = 4,
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
-    from gazette.llm.common import table
-
     return remove_boilerplate(table(spark, sf_dir, "documents"), counts=True).select("doc_id", "text", "n_lines", "n_removed")
 
 

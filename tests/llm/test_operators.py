@@ -88,6 +88,12 @@ def test_line_dedup(spark):
     assert got[1].n_lines == 4 and got[1].n_removed == 1 and got[99].text is None
 
 
+def test_line_dedup_shuffles_as_it_broadcasts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one, other = (sorted(map(tuple, line_dedup.remove_boilerplate(docs, counts=True, broadcast_rows=n).select("doc_id", "text", "n_removed").collect())) for n in (10**6, 0))
+    assert one == other and sum(x[2] for x in one)
+
+
 def test_line_dedup_near_the_threshold_is_exact(spark):
     rows = [row(100 * k + i, f"line number {k} of the test", f"s{i}") for k in range(5, 16) for i in range(k)]
     out = line_dedup.remove_boilerplate(spark.createDataFrame(rows, SCHEMA), counts=True).collect()
