@@ -7,7 +7,8 @@ fingerprints cannot do this step: distances of unrelated texts lie within 32 +-
 of any boundary, so over two thirds of the rows would be copied at every level.) Inside a shard a
 vantage-point tree finds the exact links: the points are split by their distance to a vantage point, each
 side is searched by itself, and by the triangle inequality only points within the radius of the boundary
-are held against the other side. A shard gives a spanning forest of its links, never all pairs.
+are held against the other side. A shard gives a spanning forest of its links, never all pairs. A shard of
+more than PART fingerprints is dealt out: its points are hashed into parts of half that size, and each two parts meet in one task.
 
 Defined cases: null or blank text has fingerprint zero; a null doc_id is a row of its own, after all others;
 rows that repeat a doc_id share its component; an empty table gives an empty table.
@@ -29,6 +30,10 @@ from gazette.llm.components import components
 SEED = 42
 #: Pairs of fingerprints that are compared at once inside a task (some 10 MB with all that follows from them).
 _CELLS = 200_000
+#: Fingerprints of a shard that one task takes; larger shards are dealt out in parts.
+PART = 20_000
+#: Large shards up to which their sizes are broadcast; beyond, the join shuffles.
+BROADCAST_SHARDS = 100_000
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -146,14 +151,27 @@ def _blocks(n: int) -> list[int]:
     return [int(np.array([sum(1 << b for b in range(lo, hi))], np.uint64).view(np.int64)[0]) for lo, hi in zip(edges, edges[1:], strict=False)]
 
 
-def links(nodes: DataFrame, bits: int) -> DataFrame:
+def _dealt(shards: DataFrame, part: int) -> DataFrame:
+    """Adds cell, by which a shard of over part fingerprints is dealt out: a cell holds two of its parts, and every two parts share one."""
+    one = F.lit(0).cast("long").alias("cell")
+    large = materialize(shards.groupBy("s", "k").agg(F.count("*").alias("n")).where(F.col("n") > part).select("s", "k", F.ceil(F.col("n") * 2 / part).alias("parts")), "large-shards")
+    n = large.count()
+    if n == 0:
+        return shards.select("*", one)
+    known = shards.join(F.broadcast(large) if n <= BROADCAST_SHARDS else large, ["s", "k"], "left").withColumn("p", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))))
+    pair = lambda j: F.least(F.col("p"), j) * F.col("parts") + F.greatest(F.col("p"), j)
+    cells = F.when(F.col("parts").isNull(), F.array(one)).otherwise(F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: j != F.col("p")), pair))
+    return known.select("s", "k", "fp", F.explode(cells).alias("cell"))
+
+
+def links(nodes: DataFrame, bits: int, part: int = PART) -> DataFrame:
     """u, v: fingerprints (column fp, distinct) that span each group joined by links of at most bits differing bits."""
     masks = [a | b for a, b in combinations(_blocks(bits + 2), 2)]
     keys = F.array(*[F.struct(F.lit(i).alias("s"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])
-    shards = nodes.select("fp", F.explode(keys).alias("x")).select("x.s", "x.k", "fp")
+    shards = _dealt(nodes.select("fp", F.explode(keys).alias("x")).select("x.s", "x.k", "fp"), part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by shard; a shard may span batches."""
+        """Rows come sorted by shard and cell; a cell may span batches."""
         key, held = None, []
 
         def done() -> pa.RecordBatch:
@@ -163,20 +181,20 @@ def links(nodes: DataFrame, bits: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(points[i]), pa.array(points[j])], ["u", "v"])
 
         for b in batches:
-            s, k, fp = (b.column(c).to_numpy(zero_copy_only=False) for c in ("s", "k", "fp"))
-            cut = np.flatnonzero((s[1:] != s[:-1]) | (k[1:] != k[:-1])) + 1
+            s, k, c, fp = (b.column(n).to_numpy(zero_copy_only=False) for n in ("s", "k", "cell", "fp"))
+            cut = np.flatnonzero((s[1:] != s[:-1]) | (k[1:] != k[:-1]) | (c[1:] != c[:-1])) + 1
             for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(s)], strict=True):
                 if lo == hi:
                     continue
-                if (s[lo], k[lo]) != key:
+                if (s[lo], k[lo], c[lo]) != key:
                     if sum(map(len, held)) > 1:
                         yield done()
-                    key, held = (s[lo], k[lo]), []
+                    key, held = (s[lo], k[lo], c[lo]), []
                 held.append(fp[lo:hi].copy())
         if sum(map(len, held)) > 1:
             yield done()
 
-    return shards.repartition("s", "k").sortWithinPartitions("s", "k").mapInArrow(run, "u long, v long")
+    return shards.repartition("s", "k", "cell").sortWithinPartitions("s", "k", "cell").mapInArrow(run, "u long, v long")
 
 
 def groups(docs: DataFrame, shingle: int = 5, bits: int = 4) -> DataFrame:

@@ -274,6 +274,34 @@ def test_tree_links_join_what_brute_force_joins():
     assert parts(found) == parts(brute) and len(found) < len(points)
 
 
+@pytest.mark.parametrize("known", [simhash.BROADCAST_SHARDS, 0])
+def test_large_shards_are_dealt_out_without_loss(spark, monkeypatch, known):
+    monkeypatch.setattr(simhash, "BROADCAST_SHARDS", known)
+    rng = np.random.default_rng(5)
+    points = [0]
+    for _ in range(300):  # a drifting line of near copies, most of them in one shard
+        points.append(points[-1] ^ (1 << int(rng.integers(22, 63))) ^ (1 << int(rng.integers(22, 63))))
+    points = sorted({*points, *rng.integers(0, 2**63, 50).tolist()})
+    nodes = spark.createDataFrame([(p,) for p in points], "fp long")
+    at = {p: i for i, p in enumerate(points)}
+
+    def parts(pairs):
+        s = simhash._Sets(len(points))
+        for a, b in pairs:
+            ra, rb = s.root(a), s.root(b)
+            s.parent[max(ra, rb)] = min(ra, rb)
+        return [s.root(i) for i in range(len(points))]
+
+    whole = np.array(points, np.int64).view(np.uint64)
+    brute = np.argwhere(np.triu(np.bitwise_count(whole[:, None] ^ whole[None, :]) <= 4, 1))
+    for part in (40, 100_000):
+        found = [(at[r.u], at[r.v]) for r in simhash.links(nodes, 4, part).collect()]
+        assert all((points[a] ^ points[b]).bit_count() <= 4 for a, b in found)
+        assert parts(found) == parts(brute)
+    sizes = simhash._dealt(nodes.select(F.lit(0).alias("s"), F.lit(0).cast("long").alias("k"), "fp"), 40).groupBy("cell").count().agg(F.max("count")).first()[0]
+    assert sizes <= 80
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 107), (107, 103), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
