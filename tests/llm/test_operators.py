@@ -177,6 +177,17 @@ def test_quality_ranks_held_out(spark):
     assert sum(r.predicted == labels[r.doc_id] for r in held) / len(held) > 0.97
 
 
+def test_common_seeds_give_the_same_matches(spark, monkeypatch):
+    shared = sentence(70)
+    rows = [row(i, f"{sentence(20)} {shared} {sentence(20)}") for i in range(60)] + [row(100 + i, sentence(40)) for i in range(20)]
+    held = passages.seeds(spark.createDataFrame(rows, SCHEMA), 5, 8)
+    plain = sorted(map(tuple, passages._matches(held).collect()))
+    assert not held.sample(passages._LOOK, 11).groupBy("h").count().where("count > 20").count()
+    monkeypatch.setattr(passages, "_LOOK", 1.0)
+    assert held.groupBy("h").count().where("count > 20").count() > 5
+    assert sorted(map(tuple, passages._matches(held).collect())) == plain and len(plain) > 500
+
+
 def test_passages(spark):
     passage = [f"p{i}" for i in range(70)]
     fuzzy = list(passage)
