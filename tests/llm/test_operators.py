@@ -188,6 +188,16 @@ def test_common_seeds_give_the_same_matches(spark, monkeypatch):
     assert sorted(map(tuple, passages._matches(held).collect())) == plain and len(plain) > 500
 
 
+def test_pairs_are_dealt_out_after_joins(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        m = spark.range(50).selectExpr("id a", "id b", "0 pa", "0 pb").join(spark.range(50).select(F.col("id").alias("b")), "b", "left_semi")
+        df = passages._chained(m, 5, 8, 50)
+        assert "REPARTITION_BY_COL" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_passages(spark):
     passage = [f"p{i}" for i in range(70)]
     fuzzy = list(passage)
