@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gazette.llm import decontaminate, line_dedup, packing, quality, simhash
+from gazette.llm import decontaminate, line_dedup, near_copies, packing, quality, simhash
 from gazette.llm.common import materialize, table
 
 
@@ -23,8 +23,8 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """Keeps one document of each group of near-duplicates: by op7's link, then by a shingle Jaccard of 0.8 among those left."""
+    return near_copies.keep_one(simhash.keep_one(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -410,3 +410,47 @@ def test_pipeline_stages(spark, texts):
         left = materialize(out, "stage")
     packed = corpus_pipeline.STAGES[-1][1](spark, left, SF)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in left.select("doc_id").collect()}
+
+
+def test_near_dedup_stage_reaches_a_jaccard_of_080(spark):
+    """The stage against brute force, on pairs at a 5-word shingle Jaccard of 0.6 to 0.97."""
+    import corpus_pipeline
+
+    rng, t = random.Random(8), {}
+    for p in range(240):
+        a = [f"{rng.choice(WORDS)}{rng.randint(0, 5000)}" for _ in range(rng.randint(150, 400))]
+        b = list(a)
+        for i in rng.sample(range(len(a)), max(1, round(len(a) * (0.004 + 0.056 * p / 240)))):
+            b[i] = "other"
+        t[2 * p], t[2 * p + 1] = " ".join(a), " ".join(b)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, x in t.items() for w in [x.split()]}
+    jac = [len(sets[2 * p] & sets[2 * p + 1]) / len(sets[2 * p] | sets[2 * p + 1]) for p in range(240)]
+    near = {p for p in range(240) if jac[p] >= 0.8}
+    kept = {r.doc_id for r in corpus_pipeline.near_deduplication(spark, spark.createDataFrame([row(i, x) for i, x in t.items()], SCHEMA), SF).select("doc_id").collect()}
+    caught = {p for p in range(240) if 2 * p + 1 not in kept}
+    print(f"recall {len(caught & near)} of {len(near)}, others linked {len(caught - near)} of {240 - len(near)}")
+    assert len(near) > 60 and sum(jac[p] < 0.9 for p in near) > 30
+    assert near <= caught and {2 * p for p in range(240)} <= kept and all(jac[p] > 0.7 for p in caught)
+
+
+def test_set_links_join_what_brute_force_joins(spark):
+    from gazette.llm import near_copies
+
+    rng, sets = np.random.default_rng(4), []
+    for _ in range(12):
+        base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+        for _ in range(12):
+            base = np.where(rng.random(60) < 0.06, rng.integers(0, 2**63, 60, dtype=np.uint64), base)
+            sets.append(np.unique(base[: rng.integers(45, 61)]))
+
+    def parts(pairs):
+        s = simhash._Sets(len(sets))
+        for a, b in pairs:
+            ra, rb = s.root(a), s.root(b)
+            s.parent[max(ra, rb)] = min(ra, rb)
+        return [s.root(i) for i in range(len(sets))]
+
+    both = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
+    brute = [(i, j) for i in range(len(sets)) for j in range(i) if both(i, j) / (len(sets[i]) + len(sets[j]) - both(i, j)) >= 0.8]
+    found = near_copies.set_links(sets, 0.8)
+    assert len(brute) > len(found) and parts(found) == parts(brute) and len(set(parts(found))) > 12
