@@ -15,10 +15,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes cross-site boilerplate lines out of the texts; n_chars follows."""
+    """Takes cross-site boilerplate lines, however short, out of the texts; n_chars follows."""
     from pyspark.sql import functions as F
 
-    out = line_dedup.remove_boilerplate(docs)
+    out = line_dedup.remove_boilerplate(docs, min_words=1)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

@@ -1,6 +1,6 @@
 """Cross-site line deduplication by distinct-site spread.
 
-Every line (trimmed, of at least ``min_words`` words) gets a HyperLogLog sketch of the sites it occurs
+Every line (trimmed, of at least ``min_words`` words; for 1, every line that is not blank) gets a HyperLogLog sketch of the sites it occurs
 on; sketches merge in the aggregation, so a line on a third of all pages costs one small row a task.
 Lines whose estimate is clearly under ``min_sites`` are left, clearly over it are boilerplate, and those
 near it get an exact distinct count. Of a boilerplate line the first occurrence (least doc_id, then
@@ -21,6 +21,8 @@ from gazette.llm.common import materialize, table
 BROADCAST_ROWS = 200_000
 #: Parts into which the shuffled join deals the occurrences of each line.
 SALTS = 32
+#: A line that is not blank holds anything but ASCII white space.
+NOT_BLANK = r"[^\x20\x09-\x0D]"
 
 
 def _key(line: Column) -> Column:
@@ -31,7 +33,8 @@ def _occurrences(docs: DataFrame, min_words: int) -> DataFrame:
     """__id, __site, __pos, __h of the lines that count."""
     lines = docs.select(F.col("doc_id").alias("__id"), F.col("source").alias("__site"), F.posexplode(F.split("text", "\n")).alias("__pos", "__line"))
     spaces = F.length(F.trim("__line")) - F.length(F.replace(F.trim("__line"), F.lit(" "), F.lit("")))
-    return lines.where(spaces >= min_words - 1).select("__id", "__site", "__pos", _key(F.col("__line")).alias("__h"))
+    counted = spaces >= min_words - 1 if min_words > 1 else F.regexp("__line", F.lit(NOT_BLANK))
+    return lines.where(counted).select("__id", "__site", "__pos", _key(F.col("__line")).alias("__h"))
 
 
 def _meet(occ: DataFrame, lines: DataFrame, most: int) -> DataFrame:

@@ -88,6 +88,17 @@ def test_line_dedup(spark):
     assert got[1].n_lines == 4 and got[1].n_removed == 1 and got[99].text is None
 
 
+def test_line_dedup_stage_takes_short_lines(spark):
+    import corpus_pipeline
+
+    rows = [row(i, f"{sentence(6)}\n\nAll rights reserved.\n \t \nLes.\n{'Few.' if i < 9 else 'x' + str(i)}\n", f"s{i}") for i in range(12)]
+    got = {r.doc_id: r for r in corpus_pipeline.line_deduplication(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()}
+    assert "All rights reserved.\n \t \nLes.\n" in got[0].text
+    for i in range(1, 12):
+        lines = rows[i][1].split("\n")
+        assert got[i].text.split("\n") == [x for x in lines if x not in ("All rights reserved.", "Les.")] and got[i].n_chars == len(got[i].text)
+
+
 def test_line_dedup_shuffles_as_it_broadcasts(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     one, other = (sorted(map(tuple, line_dedup.remove_boilerplate(docs, counts=True, broadcast_rows=n).select("doc_id", "text", "n_removed").collect())) for n in (10**6, 0))
