@@ -4,7 +4,9 @@ Numbers, units after numbers, and capitalised words inside a sentence become typ
 their value; the rest is lower-cased and freed of punctuation. Windows of ``k`` template words of the
 benchmark meet those of the documents in a hash join. A document leaks an item if it holds at least
 ``similarity`` of the item's windows and the values in the placeholders are consistent: a value of the item
-stands for the same value of the document throughout, so re-parameterised questions are caught as well.
+stands for the same value of the document throughout, so re-parameterised questions are caught as well. A document
+that isn't consistent as a whole may hold an item several times: windows are then told apart by where the item would begin,
+and one place that holds enough windows consistently, or enough windows with the item's own values, is a leak.
 
 Defined cases: null text is empty; an item of fewer than k words is one window, met only by a document that
 is the same few words; items without words are no items; null ids are ids of their own; repeated rows get the
@@ -92,14 +94,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity: float =
     # then the values, in those documents alone; a value of the item should stand for one value of the document
     some = held.select(F.col("__id").alias("__wid"), F.col("__th").alias("__wth")).distinct()
     some = texts.join(_small(some), texts["__id"].eqNullSafe(F.col("__wid")) & (texts["__th"] == F.col("__wth")), "left_semi")
-    valued = _windows(some, k).where("__s IS NOT NULL").join(_small(wins.where("__bs IS NOT NULL")), "__h").groupBy(*key, "__bs", "__s").agg(F.lit(1).alias("__one"))
+    # the places where an item may stand: the window's offset in parts of half an item, cut twice, so that words put in or left out
+    # in a quarter of it stay in one part of either cut, and two occurrences share none
+    off, half = F.col("__i") - F.col("__bi"), F.greatest(F.floor((F.col("__of") + k - 1) / 2), F.lit(1))
+    cut = lambda n: F.struct(F.lit(n).alias("cut"), F.floor((off + F.lit(n) * F.floor(half / 2)) / half).alias("part"))
+    whole = F.struct(F.lit(-1).alias("cut"), F.lit(0).cast("long").alias("part"))
+    # of a document's windows only those of the items that it holds
+    own = held.select(*[F.col(c).alias(f"{c}h") for c in key])
+    mine = F.col("__id").eqNullSafe(F.col("__idh")) & (F.col("__th") == F.col("__thh")) & F.col("__item").eqNullSafe(F.col("__itemh")) & (F.col("__ith") == F.col("__ithh"))
+    met = _windows(some, k).join(_small(wins), "__h").join(own, mine, "left_semi")
+    met = materialize(met.select(*key, "__of", "__bi", "__bs", "__s", F.explode(F.array(whole, cut(0), cut(1))).alias("__at")).distinct(), "met")
+    place = [*key, "__at"]
+    same = F.when(F.col("__bs").isNull() | (F.col("__bs") == F.col("__s")), F.col("__bi"))
+    places = met.groupBy(*place, "__of").agg(F.count_distinct("__bi").alias("n"), F.count_distinct(same).alias("verbatim"))
+    valued = met.where("__bs IS NOT NULL").groupBy(*place, "__bs", "__s").agg(F.lit(1).alias("__one"))
     pairs = F.filter(F.arrays_zip(F.split("__bs", r"\|").alias("b"), F.split("__s", r"\|").alias("d")), lambda x: F.startswith(x["b"], F.lit("§")))
-    slots = valued.select(*key, F.explode(pairs).alias("p")).select(*key, F.col("p.b").alias("b"), F.col("p.d").alias("d"))
-    slots = slots.groupBy(*key, "b", "d").agg(F.lit(1).alias("__one")).groupBy(*key, "b").agg(F.count("*").alias("ways"))
-    slots = slots.groupBy(*key).agg(F.count("*").alias("values"), F.sum((F.col("ways") > 1).cast("int")).alias("clashes"))
-    slots = slots.select(*[F.col(c).alias(f"{c}s") for c in key], "values", "clashes")
-    same = held["__id"].eqNullSafe(slots["__ids"]) & (held["__th"] == slots["__ths"]) & held["__item"].eqNullSafe(slots["__items"]) & (held["__ith"] == slots["__iths"])
-    found = held.join(slots, same, "left").where(F.coalesce(F.col("clashes") <= (1 - similarity) * F.col("values"), F.lit(True)))
+    slots = valued.select(*place, F.explode(pairs).alias("p")).select(*place, F.col("p.b").alias("b"), F.col("p.d").alias("d"))
+    slots = slots.groupBy(*place, "b", "d").agg(F.lit(1).alias("__one")).groupBy(*place, "b").agg(F.count("*").alias("ways"))
+    slots = slots.groupBy(*place).agg(F.count("*").alias("values"), F.sum((F.col("ways") > 1).cast("int")).alias("clashes"))
+    slots = slots.select(*[F.col(c).alias(f"{c}s") for c in place], "values", "clashes")
+    equal = lambda a, b, names: F.expr(" AND ".join(f"{a}{c} <=> {b}{c}s" for c in names))
+    judged = places.join(slots, equal("", "", place), "left")
+    enough = lambda c: F.col(c) >= similarity * F.col("__of")
+    fine = judged.where(enough("verbatim") | (enough("n") & F.coalesce(F.col("clashes") <= (1 - similarity) * F.col("values"), F.lit(True))))
+    fine = fine.select(*[F.col(c).alias(f"{c}s") for c in key]).distinct()
+    found = held.join(fine, equal("", "", key), "left_semi")
     return found.select("__id", "__th", F.col("__item").alias("item_id"), (F.col("hits") / F.col("__of")).alias("coverage"))
 
 

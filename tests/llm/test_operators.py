@@ -262,6 +262,23 @@ def test_slots_must_be_consistent(spark):
     assert got == {1}
 
 
+def test_slots_are_held_against_each_occurrence(spark):
+    item = "take 3 cups and 5 bowls and 7 forks and 9 spoons and 11 plates then 13 pots"
+    one, other = (re.sub(r"\d+", lambda m: str(int(m[0]) + n), item) for n in (20, 50))
+    mixed = item
+    for n in ("3", "5", "7", "9", "11", "13"):
+        mixed = re.sub(rf"\b{n}\b", str(RNG.randint(100, 10**6)), mixed)
+    same = "take 3 cups and 3 bowls and 3 forks and 3 spoons and 3 plates then 3 pots"
+    bad, worse = same, same
+    for n in range(6):
+        bad, worse = bad.replace("3", str(40 + n), 1), worse.replace("3", str(60 + n), 1)
+    longer = one.replace("and 27", "and also 27")
+    t = {1: f"{item} {sentence(20)} {one}", 2: f"{one} {sentence(20)} {other}", 3: f"{sentence(7)} {longer} {sentence(3)} {other}", 4: f"{bad} {sentence(20)} {worse}", 5: mixed, 6: f"{item}. {one}"}
+    bench = spark.createDataFrame([(1, item), (2, same)], "item_id long, text string")
+    got = {(r["__id"], r.item_id) for r in decontaminate.leaks(spark.createDataFrame([row(i, x) for i, x in t.items()], SCHEMA), bench).collect()}
+    assert {(i, 1) for i in (1, 2, 3, 5, 6)} <= got and (4, 2) not in got
+
+
 def test_simhash_links(spark, docs, texts):
     from xxhash import xxh64_intdigest
 
