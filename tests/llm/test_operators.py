@@ -252,8 +252,8 @@ def test_passages_with_every_fifth_word_replaced(spark):
 
 
 def test_passages_grow_as_far_as_they_reach(spark, monkeypatch):
-    """With no words around a chain fetched at first, rounds go on until a passage has its true ends."""
-    monkeypatch.setattr(passages, "MARGIN", 1)
+    """With few words around a chain fetched at first, rounds go on until a passage has its true ends."""
+    monkeypatch.setattr(passages, "MARGIN", 12)
     shared = sentence(1500).split()
     other = [f"q{i}" if i % 7 == 4 else w for i, w in enumerate(shared)]
     t = {1: sentence(600) + " " + " ".join(shared) + " " + sentence(40), 2: sentence(70) + " " + " ".join(other) + " " + sentence(700)}
