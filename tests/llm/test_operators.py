@@ -188,18 +188,32 @@ def test_quality_ranks_held_out(spark):
     assert sum(r.predicted == labels[r.doc_id] for r in held) / len(held) > 0.97
 
 
-def test_common_seeds_give_the_same_matches(spark, monkeypatch):
-    """Salting changes which holder stands before another, never the first one, and every later holder keeps its links."""
+def test_common_seeds_keep_every_holder_linked(spark, monkeypatch):
+    """Salted or not, the holders of a seed are joined to its first one, over the first of their part."""
     shared = sentence(70)
     rows = [row(i, f"{sentence(20)} {shared} {sentence(20)}") for i in range(60)] + [row(100 + i, sentence(40)) for i in range(20)]
-    held = passages.seeds(passages._texts(spark.createDataFrame(rows, SCHEMA)), 4, 3)
-    plain = sorted(tuple(r) for r in passages._matches(held).collect())
-    assert not held.sample(passages._LOOK, 11).groupBy("h").count().where("count > 20").count()
+    texts = passages._texts(spark.createDataFrame(rows + rows[:5], SCHEMA))
+    common = passages._common(texts, 4, 3)
+    assert not len(common)
+    plain = {tuple(r) for r in passages._matches(passages.seeds(texts, 4, 3, 7, common), common).collect()}
     monkeypatch.setattr(passages, "_LOOK", 1.0)
-    assert held.groupBy("h").count().where("count > 20").count() > 5
-    salted = sorted(tuple(r) for r in passages._matches(held).collect())
-    of = lambda rows: [r for r in rows if r[0] == 0]
-    assert of(salted) == of(plain) and len(plain) > 500 and {r[1] for r in salted} == {r[1] for r in plain}
+    common = passages._common(texts, 4, 3)
+    assert len(common) > 5
+    salted = {tuple(r) for r in passages._matches(passages.seeds(texts, 4, 3, 7, common), common).collect()}
+    for rows in (plain, salted):
+        joined = {x: x for x in range(60)}
+        for a, b in sorted((r[0], r[1]) for r in rows if r[1] < 60):
+            joined[b] = min(joined[b], joined[a])
+        assert set(joined.values()) == {0} and all(a < b for a, b, _, _ in rows)
+    assert {r[1] for r in salted} == {r[1] for r in plain} and len(salted) > 500
+
+
+def test_seeds_are_packed_without_loss():
+    rng = np.random.default_rng(1)
+    h, row, pos = rng.integers(0, 2**64 - 1, 1000, np.uint64), rng.integers(0, 30, 1000), rng.integers(0, 10**6, 1000)
+    doc, text = rng.integers(-(2**60), 2**60, 30), rng.integers(0, 2**64 - 1, 30, np.uint64)
+    got = sorted(zip(*(c.tolist() for c in passages._unpack(passages._pack(h, doc, text, row, pos))), strict=True))
+    assert got == sorted(zip(h.tolist(), doc[row].tolist(), text[row].tolist(), pos.tolist(), strict=True))
 
 
 def test_pairs_are_dealt_out_after_joins(spark):
