@@ -1,14 +1,17 @@
 """Personal data: pattern spans, and terms that the corpus shows to disclose them, in DataFrame functions alone.
 
 Base spans are e-mail addresses, IP addresses, payment cards and phone numbers. Then, following
-information-theoretic sanitisation, the words next to a protected value are held against the corpus: a
-term's pointwise mutual information with the value, as a share of the value's own information, says how far the
-term gives it away. Terms over ``disclosure`` that stand beside the value in at least ``support``
-different contexts become spans of kind term in every text beside that value; redact() replaces spans by
-their kind. Document frequencies come from all texts.
-
-Defined cases: null text has no spans; null or repeated doc_ids are rows like others; an empty table gives an
-empty table. Offsets are code points, ends exclusive.
+information-theoretic sanitisation, every term (a word of two letters or more outside base spans) is held against the protected
+entities by their co-occurrence in whole documents: each kind, any kind, and each single value that ``support`` documents
+hold. Pointwise mutual information as a share of the entity's own information says how far the term gives the entity away. A term
+discloses if that share is at least ``disclosure``, at least ``support`` documents hold both, and chance doesn't explain it (a
+Chernoff bound over all terms, so that 0.05 terms are expected by chance). So that copies of a text prove nothing, a term must also
+stand between ``support`` different pairs of neighbours, and for kinds the whole test is repeated with these contexts in place of documents.
+Disclosing terms become spans of kind term at every place of every text, whether the entity is printed there or not;
+redact() replaces spans by their kind. All counts cover all texts.
+
+Defined cases: null text has no spans; null or repeated doc_ids are rows like others (nothing is joined by id); an empty table gives an
+empty table; a table whose every text holds an entity discloses nothing. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ PATTERNS = [
     r"[0-9](?:[\x20-]?[0-9])++",
     r"\+[0-9][\x20().0-9-]+[0-9]",
 ]
-_SIDE = 48
+#: Disclosing terms up to which they are sent to the tasks as one array (some 20 bytes each); beyond, terms are joined.
+BROADCAST_TERMS = 20_000
+_CHANCE = 3.0
 
 
 def _digits(m: Column) -> Column:
@@ -51,11 +56,11 @@ def _passes(kind: int, m: Column) -> Column:
     return F.lit(True)
 
 
-def _found(rows: DataFrame, text: str, pattern: str, may: Column, out: str) -> DataFrame:
+def _found(rows: DataFrame, text: str, pattern: str | Column, may: Column, out: str) -> DataFrame:
     """Adds out: array of struct(start, m) of all matches: lengths of matches and of what lies between them add up."""
     keep = rows.columns
     none = F.array().cast("array<string>")
-    rows = rows.select(*keep, F.when(may, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none).alias("__m"), F.when(may, F.split(text, pattern, -1)).otherwise(none).alias("__s"))
+    rows = rows.select(*keep, F.when(may, F.regexp_extract_all(text, F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(0))).otherwise(none).alias("__m"), F.when(may, F.split(text, pattern, -1)).otherwise(none).alias("__s"))
     lengths = lambda a: F.transform(a, lambda x: F.length(x))
     rows = rows.select(*keep, "__m", lengths("__m").alias("__ml"), lengths("__s").alias("__sl"))
     total = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda s, x: s + x)
@@ -86,48 +91,107 @@ def as_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat(name(x), F.lit(":"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string"))), ",")
 
 
-def _terms_of(text: Column) -> Column:
-    """Distinct terms of a text: runs of letters, lower case, of four letters or more."""
-    return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda w: F.length(w) >= 4)
+def _masked(rows: DataFrame) -> DataFrame:
+    """Adds __w: the words of the lower-cased text outside its base spans."""
+    spans, text = F.col("spans"), F.col("__text")
+    starts = F.concat(F.array(F.lit(0)), F.transform(spans, lambda x: x["end"]))
+    stops = F.concat(F.transform(spans, lambda x: x["start"]), F.array(F.length(text)))
+    between = F.array_join(F.zip_with(starts, stops, lambda i, j: F.substring(text, i + 1, F.greatest(j - i, F.lit(0)))), " ")
+    free = F.when(F.size(spans) > 0, between).otherwise(text)
+    return rows.withColumn("__w", F.filter(F.split(F.lower(free), r"[^\p{L}]+"), lambda w: F.length(w) >= 2))
 
 
-def find(docs: DataFrame, disclosure: float = 0.8, support: int = 3) -> DataFrame:
-    """doc_id, base (array of spans), spans (base and terms) of each row."""
-    keyed = docs.select(F.col("doc_id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("__th"), docs["text"])
-    found = base_spans(keyed, "doc_id", "__th")
-    # the texts go no further than the words beside their spans
-    rows = found.withColumn("__side", F.transform("spans", lambda x: F.substring(F.col("__text"), F.greatest(x["start"] - _SIDE, F.lit(0)) + 1, x["end"] - F.greatest(x["start"] - _SIDE, F.lit(0)) + _SIDE)))
-    rows = materialize(rows.select("doc_id", "__th", "spans", F.when(F.size("spans") > 0, F.col("__side")).alias("__side")), "spans")
-    near = _near(rows.where(F.size("spans") > 0))
-    pairs = near.groupBy("k", "value", "term", "ctx").agg(F.lit(1).alias("__one")).groupBy("k", "value", "term").agg(F.count("*").alias("together")).where(F.col("together") >= support)
-    alone = near.groupBy("k", "value", "ctx").agg(F.lit(1).alias("__one")).groupBy("k", "value").agg(F.count("*").alias("seen"))
-    pairs = materialize(pairs.join(alone, ["k", "value"]), "pairs")
-    n = rows.count()
+def _flags(rows: DataFrame) -> DataFrame:
+    """Adds f0 to f3 (a base span of each kind) and f4 (of any), as 0 or 1."""
+    kinds = F.transform("spans", lambda x: x["k"])
+    return rows.withColumns({**{f"f{k}": F.array_contains(kinds, k).cast("int") for k in range(4)}, "f4": (F.size("spans") > 0).cast("int")})
+
+
+def _told(together, df, seen, n) -> Column:
+    """How far a term gives an entity away: pointwise mutual information over the entity's own information."""
+    return F.log(together * n / (seen * df)) / F.greatest(F.log(n / seen), F.lit(1e-9))
+
+
+def _beyond_chance(together, df, seen, n, kinds: Column) -> Column:
+    """Chernoff: so many documents of df would hold the entity by chance with a probability of at most exp(-df * divergence)."""
+    p, q = together / df, F.least(seen / n, F.lit(1 - 1e-9))
+    divergence = p * F.log(p / q) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - q))).otherwise(0.0)
+    return (p > q) & (df * divergence >= F.log(kinds) + _CHANCE)
+
+
+def _kinds_told(counts: DataFrame, seen: list[int], n: int, kinds: int, disclosure: float, support: int) -> Column:
+    """counts has df and f0 to f4: does the term disclose one of the kinds?"""
+    test = F.lit(False)
+    for k, s in enumerate(seen):
+        if 0 < s < n:
+            t, args = F.col(f"f{k}"), (F.col("df"), F.lit(float(s)), F.lit(float(n)))
+            test = test | ((t >= support) & (_told(F.greatest(t, F.lit(1)), *args) >= disclosure) & _beyond_chance(F.greatest(t, F.lit(1)), *args, F.lit(float(max(kinds, 1)))))
+    return test
+
+
+def _with_terms(rows: DataFrame, terms: DataFrame, many: int) -> DataFrame:
+    """rows (with __w) that hold any of the terms, with __t: which ones."""
+    if many <= BROADCAST_TERMS:
+        one = F.broadcast(terms.agg(F.collect_set("term").alias("__all")))
+        return rows.join(one).withColumn("__t", F.array_intersect("__w", "__all")).drop("__all").where(F.size("__t") > 0)
+    keyed = materialize(rows.withColumn("__key", F.uuid()), "keyed")
+    mine = keyed.select("__key", F.explode(F.array_distinct("__w")).alias("term")).join(terms, "term").groupBy("__key").agg(F.collect_set("term").alias("__t"))
+    return keyed.join(mine, "__key").drop("__key")
+
+
+def _contexts(rows: DataFrame) -> DataFrame:
+    """A row for each term of __t with ctx: its neighbours at its first place, in all other columns but __w and __t."""
+    at = F.transform("__t", lambda t: F.struct(t.alias("term"), F.array_position("__w", t).cast("int").alias("i")))
+    keep = [c for c in rows.columns if c not in ("__w", "__t")]
+    word = lambda j: F.coalesce(F.get(F.col("__w"), F.col("x.i") + j), F.lit(""))
+    return rows.select(*keep, "__w", F.explode(at).alias("x")).select(*keep, "x.term", F.xxhash64(word(-2), word(0)).alias("ctx"))
+
+
+def disclosing_terms(docs: DataFrame, disclosure: float = 0.8, support: int = 3) -> DataFrame:
+    """term: those that give away a kind of protected entity, or a value that several documents hold."""
+    rows = _masked(_flags(base_spans(docs)))
+    flags = [f"f{k}" for k in range(5)]
+    n, *seen = _flags(base_spans(docs)).agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in flags]).first()
     # counted before any join: each task sends a term once, however many texts hold it
-    df = docs.select(F.explode(_terms_of(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    told = F.log(F.col("together") * n / (F.col("seen") * F.greatest("df", "together"))) / F.greatest(F.log(F.lit(float(max(n, 2))) / F.col("seen")), F.lit(1e-9))
-    reveal = pairs.join(df, "term").where(told >= disclosure).select("k", "value", "term")
-    more = near.join(reveal, ["k", "value", "term"]).groupBy("doc_id", "__th").agg(F.collect_set(F.struct("start", F.lit(4).alias("k"), "end", F.col("term").alias("value"))).alias("__more")).select(F.col("doc_id").alias("__id"), F.col("__th").alias("__mth"), "__more")
-    out = rows.join(more, rows["doc_id"].eqNullSafe(more["__id"]) & (rows["__th"] == more["__mth"]), "left")
-    none = F.array().cast("array<struct<start:int,k:int,end:int,value:string>>")
-    return out.select("doc_id", F.col("spans").alias("base"), F.array_sort(F.concat("spans", F.coalesce("__more", none))).alias("spans"))
-
-
-def _near(rows: DataFrame) -> DataFrame:
-    """The words beside each base span, from the side texts kept with it."""
-    s = rows.select("doc_id", "__th", F.explode(F.arrays_zip("spans", "__side")).alias("z")).select("doc_id", "__th", "z.spans.start", "z.spans.k", "z.spans.end", F.lower("z.spans.value").alias("value"), F.col("z.__side").alias("side"))
-    left = F.least("start", F.lit(_SIDE))
-    both = F.array(
-        F.struct((F.col("start") - left).alias("at"), F.substring("side", F.lit(1), left).alias("side")),
-        F.struct(F.col("end").alias("at"), F.substring("side", left + F.col("end") - F.col("start") + 1, F.lit(_SIDE)).alias("side")),
-    )
-    s = s.select("doc_id", "__th", "k", "value", F.explode(both).alias("c")).select("doc_id", "__th", "k", "value", "c.at", "c.side", F.xxhash64("c.side").alias("ctx"))
-    s = _found(s, "side", r"\p{L}++", F.col("side") != "", "__t")
-    s = s.select("doc_id", "__th", "k", "value", "at", "ctx", F.length("side").alias("n"), F.explode("__t").alias("t"))
-    s = s.select("doc_id", "__th", "k", "value", "ctx", "n", F.lower("t.m").alias("term"), F.col("t.start").alias("__from"), F.length("t.m").alias("__len"), "at")
-    whole = (F.col("__from") > 0) & (F.col("__from") + F.col("__len") < F.col("n"))
-    start = F.col("at") + F.col("__from")
-    return s.where(whole & (F.col("__len") >= 4)).select("doc_id", "__th", "k", "value", "ctx", "term", start.alias("start"), (start + F.col("__len")).alias("end"))
+    counts = rows.select(*flags, F.explode(F.array_distinct("__w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"), *[F.sum(c).alias(c) for c in flags])
+    counts = materialize(counts.where(F.col("df") >= support), "terms")
+    kinds = counts.count()
+    some = materialize(counts.where(_kinds_told(counts, seen, n, kinds, disclosure, support)).select("term"), "candidates")
+    contexts = _contexts(_with_terms(rows.select("__w", *flags), some, some.count()))
+    contexts = contexts.groupBy("term", "ctx").agg(*[F.max(c).alias(c) for c in flags]).groupBy("term").agg(F.count("*").alias("df"), *[F.sum(c).alias(c) for c in flags])
+    by_kind = contexts.where(_kinds_told(contexts, seen, n, kinds, disclosure, support)).select("term")
+    # single values: only those that support documents hold can be given away by a term
+    held = rows.where("f4 = 1").select("__w", F.explode(F.array_distinct(F.transform("spans", lambda x: F.struct(x["k"].alias("k"), F.lower(x["value"]).alias("value"))))).alias("v"))
+    values = materialize(held.groupBy("v").agg(F.count("*").alias("seen")).where(F.col("seen") >= support), "values")
+    many = values.count()
+    mine = held.join(F.broadcast(values) if many <= BROADCAST_TERMS else values, "v")
+    pairs = _contexts(mine.withColumn("__t", F.array_distinct("__w"))).groupBy("v", "seen", "term", "ctx").agg(F.count("*").alias("m"))
+    pairs = pairs.groupBy("v", "seen", "term").agg(F.sum("m").alias("together"), F.count("*").alias("ways")).where((F.col("together") >= support) & (F.col("ways") >= support))
+    args = F.col("together"), F.col("df"), F.col("seen"), F.lit(float(max(n, 1)))
+    by_value = pairs.join(counts.select("term", "df"), "term").where((_told(*args) >= disclosure) & _beyond_chance(*args, F.lit(float(max(kinds * max(many, 1), 1))))).select("term")
+    return by_kind.unionByName(by_value).distinct()
+
+
+def find(docs: DataFrame, disclosure: float = 0.8, support: int = 3) -> DataFrame:
+    """doc_id, __text, base (array of spans), spans (base and terms) of each row."""
+    reveal = materialize(disclosing_terms(docs, disclosure, support), "disclosing")
+    rows = _masked(base_spans(docs, "doc_id"))
+    many = reveal.count()
+    none = F.array().cast("array<string>")
+    if many <= BROADCAST_TERMS:
+        one = F.broadcast(reveal.agg(F.coalesce(F.collect_set("term"), none).alias("__all")))
+        rows = rows.join(one).withColumn("__t", F.array_intersect("__w", "__all")).drop("__all", "__w")
+    else:
+        rows = rows.withColumn("__row", F.uuid())
+        rows = materialize(rows, "rows")
+        mine = _with_terms(rows.select("__row", "__w"), reveal, many).select(F.col("__row").alias("__of"), "__t")
+        rows = rows.join(mine, F.col("__row") == F.col("__of"), "left").withColumn("__t", F.coalesce("__t", none)).drop("__row", "__of", "__w")
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("__t", "|"), F.lit(r")(?!\p{L})"))
+    rows = _found(rows.withColumn("__p", F.when(F.size("__t") > 0, pattern).otherwise(F.lit("(?!)"))), "__text", F.col("__p"), F.size("__t") > 0, "__f")
+    span = lambda x: F.struct(x["start"].alias("start"), F.lit(4).alias("k"), (x["start"] + F.length(x["m"])).alias("end"), F.lower(x["m"]).alias("value"))
+    free = lambda x: ~F.exists("spans", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+    terms = F.filter(F.transform("__f", span), free)
+    return rows.select("doc_id", "__text", F.col("spans").alias("base"), F.when(F.size("__f") > 0, F.array_sort(F.concat("spans", terms))).otherwise(F.col("spans")).alias("spans"))
 
 
 def redact(text: Column, spans: Column) -> Column:
@@ -138,9 +202,14 @@ def redact(text: Column, spans: Column) -> Column:
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
-    out = find(table(spark, sf_dir, "documents"))
-    n = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
-    return out.select("doc_id", *[n(k).alias(f"n_{KINDS[k]}") for k in range(4)], F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
+    """The contract's columns, then n_term, n_spans and the digest of the text as redact() leaves it."""
+    out = find(table(spark, sf_dir, "documents")).withColumnRenamed("spans", "all")
+    n = lambda k, of="base": F.size(F.filter(of, lambda x: x["k"] == k)).cast("long")
+    clean = F.when(F.size("all") > 0, redact(F.col("__text"), F.col("all"))).otherwise(F.col("__text"))
+    return out.select(
+        "doc_id", *[n(k).alias(f"n_{KINDS[k]}") for k in range(4)], F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("all")).alias("spans"),
+        n(4, "all").alias("n_term"), F.size("all").cast("long").alias("n_spans"), F.sha2(clean, 256).alias("redacted_sha256"),
+    )
 
 
 SQL: dict[str, str] = {}

@@ -457,9 +457,54 @@ def test_host_counts(spark, docs, texts, odd):
 
 
 def test_bad_host_is_rejected(spark):
-    rows = [row(i, " ".join(f"w{k}" for k in range(80)) if i % 20 == 0 or h != "bad" else "too short", h) for h in ("bad", "a", "b", "c") for i in range(60)]
-    got = host_rules.judge(spark.createDataFrame([(k, *r[1:]) for k, r in enumerate(rows)], SCHEMA)).collect()
-    assert all(r.kept == (r.host != "bad") for r in got)
+    """A host of which a rule fails far oftener than elsewhere takes its other documents with it; a small one is given the benefit of the doubt."""
+    good = [row(i, sentence(80), f"h{i % 10}") for i in range(200)] + [row(500 + i, sentence(10), f"h{i}") for i in range(10)]
+    bad = [row(700 + i, sentence(80 if i % 3 == 0 else 10), "bad") for i in range(60)]
+    few = [row(900, sentence(10), "few"), row(901, sentence(80), "few"), row(902, sentence(80), None)]
+    got = {r.doc_id: r for r in host_rules.judge(spark.createDataFrame(good + bad + few, SCHEMA)).collect()}
+    assert all(got[i].kept for i in range(200)) and not any(got[700 + i].kept for i in range(60)) and not got[700].base_failed
+    assert got[901].kept and got[902].kept and not got[900].kept and got[700].host_rules == ["short"] and got[901].host_rules == []
+
+
+def test_hosts_of_real_documents(spark):
+    """Over the real texts: hosts that don't differ are all kept; where one is given most of the failing texts, it alone is rejected."""
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    plain = host_rules.judge(real).collect()
+    assert all(r.kept != r.base_failed for r in plain)
+    worst = real.join(spark.createDataFrame([(r.doc_id,) for r in plain if r.base_failed], "doc_id long").withColumn("bad", F.lit(True)), "doc_id", "left")
+    moved = worst.withColumn("source", F.when(F.col("bad"), "src5").otherwise(F.col("source"))).drop("bad")
+    got = host_rules.judge(moved).collect()
+    assert {r.host for r in got if not r.base_failed and not r.kept} == {"src5"} and sum(not r.base_failed and not r.kept for r in got) > 20
+    # with the verdicts of hosts switched off those documents would stay
+    off = host_rules.judge(moved, odds=1e9).collect()
+    assert all(r.kept != r.base_failed for r in off)
+
+
+def test_prior_is_fitted_by_moments(spark):
+    rng = np.random.default_rng(3)
+    rates = rng.beta(4, 16, 400)
+    n = rng.integers(1, 400, 400)
+    rows = [(f"h{i}", int(n[i]), int(x)) for i, x in enumerate(rng.binomial(n, rates))]
+    mean, strength = host_rules.prior(spark.createDataFrame(rows, "host string, n long, short long"), ["short"])["short"]
+    assert abs(mean - 0.2) < 0.02 and 14 < strength < 28
+    same = [(f"h{i}", 100, 20) for i in range(10)]
+    assert host_rules.prior(spark.createDataFrame(same, "host string, n long, short long"), ["short"])["short"] == (0.2, 1000.0)
+    assert host_rules.prior(spark.createDataFrame(same[:1], "host string, n long, short long"), ["short"])["short"] == (0.2, 1.0)
+
+
+def test_repeats_in_a_text_of_over_two_million_words(spark):
+    n = 2_100_000
+    text = " ".join(f"w{i}" for i in range(n)) + " one two three one two three"
+    r = host_rules.counts(spark.createDataFrame([(1, text)], "doc_id long, text string"), "doc_id").first()
+    assert (r.n_words, r.n_repeat_words) == (n + 6, 6)
+
+
+def test_windows_of_equal_hash_are_told_apart(spark, monkeypatch):
+    """With a hash of few values, different windows interleave; the words decide."""
+    monkeypatch.setattr(host_rules, "_hash", lambda *w: F.length(w[0]).cast("long"))
+    t = "aa b c xx y z aa b c kk l m xx y z q"
+    r = host_rules.counts(spark.createDataFrame([(1, t), (2, "a b c d"), (3, "a b")], "doc_id long, text string"), "doc_id").orderBy("doc_id").collect()
+    assert [x.n_repeat_words for x in r] == [12, 0, 0]
 
 
 def test_pii_spans(spark):
@@ -473,12 +518,98 @@ def test_pii_spans(spark):
 
 
 def test_terms_that_disclose(spark):
-    rows = [row(i, f"{sentence(5)} note {i} agent Blofeld writes to spectre@isle.org from the volcano {sentence(5)}") for i in range(6)]
+    rows = [row(i, f"{sentence(5)} {WORDS[i]} Blofeld {WORDS[-i]} {sentence(30)} spectre@isle.org writes {sentence(5)}") for i in range(6)]
     rows += [row(100 + i, f"{sentence(12)} writes from the harbour") for i in range(60)]
+    # the same text six times over proves nothing of its words; a text may name the term without the address
+    rows += [row(200 + i, f"gizmo widget {sentence(0)} one@two.org gadget") for i in range(6)] + [row(300, "here Blofeld is named alone"), row(300, "here Blofeld is named alone"), row(301, None), row(None, "BLOFELD")]
     got = pii.find(spark.createDataFrame(rows, SCHEMA)).collect()
     terms = {s.value for r in got for s in r.spans if s.k == 4}
-    assert "blofeld" in terms and "writes" not in terms and "from" not in terms
-    assert all(not r.spans for r in got if r.doc_id >= 100)
+    assert terms == {"blofeld"} and len(got) == len(rows)
+    for r in got:
+        if r.doc_id in range(100, 200) or r.doc_id == 301:
+            assert not r.spans
+        elif r.doc_id is None or r.doc_id == 300 or r.doc_id < 100:
+            assert [r.asDict()["__text"][s.start : s.end].lower() for s in r.spans if s.k == 4] == ["blofeld"]
+        assert [s for s in r.spans if s.k < 4] == r.base
+    df = spark.createDataFrame(rows, SCHEMA)
+    clean = pii.find(df).withColumn("c", pii.redact(F.col("__text"), F.col("spans"))).where("doc_id = 300").first().c
+    assert clean == "here [term] is named alone"
+
+
+def brute_terms(texts, disclosure=0.8, support=3):
+    """Terms that give away kinds of entities, counted by document and then by context, and values held by several documents."""
+    from math import log
+
+    kinds = [re.compile(p, re.A) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")]
+    docs = []
+    for t in texts:
+        spans = [(m.start(), m.end(), k, m.group().lower()) for k, p in enumerate(kinds) for m in p.finditer(t)]
+        out = list(t)
+        for i, j, _, _ in spans:
+            out[i:j] = " " * (j - i)
+        ws = [w for w in re.split(r"[^a-zA-Z]+", "".join(out).lower()) if len(w) >= 2]
+        first = {w: (ws[i - 1] if i else "", ws[i + 1] if i + 1 < len(ws) else "") for i, w in reversed(list(enumerate(ws)))}
+        docs.append((first, {k for _, _, k, _ in spans} | ({4} if spans else set()), {(k, v) for _, _, k, v in spans}))
+    n = len(docs)
+    df = Counter(w for d in docs for w in d[0])
+    known = sum(c >= support for c in df.values())
+
+    def enough(both, of, seen, many):
+        p, q = both / of, seen / n
+        told = log(both * n / (seen * of)) / max(log(n / seen), 1e-9)
+        kl = p * log(p / q) + ((1 - p) * log((1 - p) / (1 - q)) if p < 1 else 0)
+        return both >= support and told >= disclosure and p > q and of * kl >= log(many) + 3
+
+    found = set()
+    for k in range(5):
+        seen = sum(k in d[1] for d in docs)
+        if not 0 < seen < n:
+            continue
+        for w, c in df.items():
+            if c < support or not enough(max(sum(w in d[0] and k in d[1] for d in docs), 1e-9), c, seen, known):
+                continue
+            ctx = defaultdict(bool)
+            for d in docs:
+                if w in d[0]:
+                    ctx[d[0][w]] |= k in d[1]
+            if sum(ctx.values()) >= support and enough(sum(ctx.values()), len(ctx), seen, known):
+                found.add(w)
+    seen = Counter(v for d in docs for v in d[2])
+    values = [v for v, c in seen.items() if c >= support]
+    for v in values:
+        mine = [d[0] for d in docs if v in d[2]]
+        for w in {w for d in mine for w in d}:
+            both = [d[w] for d in mine if w in d]
+            if len(both) >= support and len(set(both)) >= support and enough(len(both), df[w], seen[v], known * len(values)):
+                found.add(w)
+    return found
+
+
+def test_disclosing_terms_against_brute_force(spark):
+    rng = random.Random(8)
+    words = [f"{a}{b}" for a in ("lo", "mi", "ra", "tu", "ke") for b in ("fa", "so", "ne", "pi", "du", "ga")]
+    texts = []
+    for i in range(400):
+        ws = [rng.choice(words) for _ in range(rng.randint(3, 40))]
+        if i % 9 == 0:
+            ws.insert(rng.randint(0, len(ws)), rng.choice(["Agent", "Bond"]))
+            ws.insert(rng.randint(0, len(ws)), f"x{i}@mail.org")
+        if i % 14 == 0:
+            ws.insert(rng.randint(0, len(ws)), "server")
+            ws.insert(rng.randint(0, len(ws)), f"10.0.0.{i % 3}")
+            ws.insert(rng.randint(0, len(ws)), f"node{'abc'[i % 3]}")
+        texts.append(" ".join(ws))
+    texts += [texts[9]] * 30 + ["", "x"]
+    got = {r.term for r in pii.disclosing_terms(spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert got == brute_terms(texts) and {"agent", "server"} <= got and not got & set(words)
+
+
+def test_terms_beyond_the_broadcast_bound(spark, monkeypatch):
+    df = spark.createDataFrame([row(i, f"{WORDS[i % 11]} Blofeld {WORDS[i % 7]} {sentence(9)} a{i}@isle.org") for i in range(12)] + [row(50 + i, sentence(20)) for i in range(90)], SCHEMA)
+    rows = lambda: sorted((r.doc_id, str(r.spans)) for r in pii.find(df).collect())
+    small = rows()
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", 0)
+    assert rows() == small and any("blofeld" in x for _, x in small)
 
 
 def test_warc_round_trip(spark, tmp_path):
