@@ -125,14 +125,96 @@ def test_lm_base_and_mass(spark, docs, texts):
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(w), sum(x in counts for x in w), n)
     held = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    table = lm_scoring.word_counts(docs)
-    symbols, tree, *_ = lm_scoring.fit(docs, table)
+
+
+class BruteTree:
+    """The suffix tree in dictionaries, over words themselves."""
+
+    def __init__(self, texts, depth=3):
+        from math import log, sqrt
+
+        self.depth, self.next, self.memo = depth, [defaultdict(Counter) for _ in range(depth + 1)], {}
+        words_ = Counter(w for t in texts for w in [*words(t), b""])
+        self.n, self.v = sum(words_.values()), len(words_)
+        self.root = {w: (c + 1) / (self.n + self.v + 1) for w, c in words_.items() if c >= max(1, 1e-6 * self.n)}
+        self.rest = max(1 - sum(self.root.values()), 1 / (self.n + self.v + 1))
+        for t in texts:
+            seq = [b""] * depth + [*words(t), b""]
+            for i in range(depth, len(seq)):
+                for d in range(1, depth + 1):
+                    self.next[d][tuple(seq[i - d : i])][seq[i] if seq[i] in self.root else None] += 1
+        self.log, self.sqrt = log, sqrt
+
+    def state(self, ctx):
+        """(discounted counts, weight of the suffix) if the context is a state, else None."""
+        if ctx not in self.memo:
+            n = self.next[len(ctx)].get(ctx, Counter())
+            total, twice = sum(n.values()), {s: c for s, c in n.items() if c >= 2}
+            direct = {s: (c - 0.75) / total for s, c in twice.items()}
+            lam = 1 - sum(direct.values())
+            below = {s: self.p(ctx[1:], s) for s in twice}
+            new = {s: direct[s] + lam * below[s] for s in twice}
+            kl = sum(new[s] * self.log(new[s] / below[s]) for s in twice) + lam * self.log(lam) * max(1 - sum(below.values()), 0)
+            free = len(twice)
+            keep = free > 0 and total >= 2 and 2 * total * kl > free + 3 * self.sqrt(2 * free) and kl >= 0.005
+            self.memo[ctx] = (direct, lam) if keep else None
+        return self.memo[ctx]
+
+    def p(self, ctx, s):
+        if not ctx:
+            return self.rest if s is None else self.root[s]
+        if (found := self.state(ctx)) is None:
+            return self.p(ctx[1:], s)
+        return found[0].get(s, 0.0) + found[1] * self.p(ctx[1:], s)
+
+    def gain(self, t):
+        seq = [b""] * self.depth + [*words(t), b""]
+        out = 0.0
+        for i in range(self.depth, len(seq)):
+            s = seq[i] if seq[i] in self.root else None
+            out += log10(self.p(tuple(seq[i - self.depth : i]), s) / self.p((), s))
+        return out
+
+
+def test_suffix_tree_against_brute_force(spark, docs, texts):
+    tree = BruteTree([t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2])
+    got = {r.doc_id: r.score - r.base_score for r in lm_scoring.score(docs).collect()}
+    assert all(got[i] == pytest.approx(tree.gain(t), abs=1e-3, rel=1e-5) for i, t in texts.items())
+    kept = [sum(tree.memo[c] is not None for c in tree.memo if len(c) == d) for d in (1, 2, 3)]
+    assert all(k > 50 for k in kept)
     # each state gives a distribution
-    every = np.arange(tree.width)
-    for a in range(min(tree.width, 20)):
-        for b in range(min(tree.width, 20)):
-            total = sum(10 ** tree.score(np.array([a, b, s]))[0] for s in every)
-            assert total == pytest.approx(1, abs=1e-6)
+    for ctx in [c for c in tree.memo if tree.memo[c] is not None][:300:10]:
+        assert sum(tree.p(ctx, s) for s in tree.root) + tree.p(ctx, None) == pytest.approx(1, abs=1e-3)
+    # many shards, common words split among them: the same base, nearly the same gain; depth pays
+    split = {r.doc_id: r for r in lm_scoring.score(docs, shard_rows=5000).collect()}
+    assert sum(r.score - r.base_score for r in split.values()) == pytest.approx(sum(got.values()), rel=0.1)
+    flat = lm_scoring.score(docs, depth=1).agg(F.sum(F.when(F.col("held_out"), F.col("score")))).first()[0]
+    deep = lm_scoring.score(docs).agg(F.sum(F.when(F.col("held_out"), F.col("score")))).first()[0]
+    assert deep > flat
+
+
+def test_tree_grows_with_the_corpus(spark):
+    """States kept for one and ten times the texts."""
+    kept = {}
+    for sf in ("0.001", "0.01"):
+        found = [words(r.text) for r in spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet").select("text").collect()]
+        ids: dict = {}
+        seqs = [np.array([0, 0, *[ids.setdefault(w, len(ids) + 1) for w in t], 0]) for t in found]
+        sym, one, two = (np.concatenate([x[2 - d : len(x) - d] for x in seqs]) for d in (0, 1, 2))
+        p0 = (np.bincount(sym) + 1) / (len(sym) + len(ids) + 1)
+        kept[sf] = lm_scoring.subtree([one.astype(np.uint64), lm_scoring._mix(one.astype(np.uint64), two)], sym, np.ones(len(sym), bool), p0)[1]
+    assert all(b > 3 * a for a, b in zip(kept["0.001"], kept["0.01"], strict=True))
+
+
+def test_positions_of_a_common_pair_are_split(spark):
+    """A third of all positions are one pair of words: it is found in the sample and dealt to several shards."""
+    rows = [row(i, ("ping pong " * 40 + sentence(40)).strip() + f" {i}") for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    symbols, *_ = lm_scoring.known_words(lm_scoring.word_counts(df), 1e-6)
+    words_, pairs = lm_scoring._common(df, symbols, 4000)
+    assert len(words_) >= 2 and len(pairs) >= 1 and max(pairs.values()) >= 2
+    got = lm_scoring.score(df, shard_rows=4000)
+    assert got.count() == 400 and got.where("score > base_score").count() == 400
 
 
 def test_packing_round_trip(spark, docs, texts):
