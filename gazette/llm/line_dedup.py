@@ -7,7 +7,7 @@ near it get an exact distinct count. Of a boilerplate line the first occurrence
 position) stays, so that copied text is thinned out but never lost.
 
 Defined cases: null text stays null; a null site is no site; a null doc_id is an id of its own; rows that
-repeat a doc_id are cleaned alike; an empty table gives an empty table; all other columns pass through.
+repeat a doc_id are cleaned each by its own lines; an empty table gives an empty table; all other columns pass through.
 """
 
 from __future__ import annotations
@@ -30,11 +30,11 @@ def _key(line: Column) -> Column:
 
 
 def _occurrences(docs: DataFrame, min_words: int) -> DataFrame:
-    """__id, __site, __pos, __h of the lines that count."""
-    lines = docs.select(F.col("doc_id").alias("__id"), F.col("source").alias("__site"), F.posexplode(F.split("text", "\n")).alias("__pos", "__line"))
+    """__id, __th (hash of the text), __site, __pos, __h of the lines that count."""
+    lines = docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__th"), F.col("source").alias("__site"), F.posexplode(F.split("text", "\n")).alias("__pos", "__line"))
     spaces = F.length(F.trim("__line")) - F.length(F.replace(F.trim("__line"), F.lit(" "), F.lit("")))
     counted = spaces >= min_words - 1 if min_words > 1 else F.regexp("__line", F.lit(NOT_BLANK))
-    return lines.where(counted).select("__id", "__site", "__pos", _key(F.col("__line")).alias("__h"))
+    return lines.where(counted).select("__id", "__th", "__site", "__pos", _key(F.col("__line")).alias("__h"))
 
 
 def _meet(occ: DataFrame, lines: DataFrame, most: int) -> DataFrame:
@@ -67,21 +67,24 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = 10, min_words: int = 4,
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = 10, min_words: int = 4, lg_k: int = 10, margin: float = 0.2, counts: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """docs with boilerplate lines taken out of text; counts adds n_lines and n_removed (long)."""
+    """docs with boilerplate lines taken out of text; counts adds n_lines and n_removed (long), in place of columns of these names."""
     boiler = materialize(boilerplate_lines(docs, min_sites, min_words, lg_k, margin, broadcast_rows), "boilerplate")
     occ = _meet(_occurrences(docs, min_words), boiler, broadcast_rows)
     first = (F.col("__first.__id").eqNullSafe(F.col("__id"))) & (F.col("__first.__pos") == F.col("__pos"))
-    drops = occ.groupBy("__id").agg(F.collect_set("__h").alias("__drop"), F.collect_set(F.when(first, F.col("__pos"))).alias("__keep"))
+    drops = occ.groupBy("__id", "__th").agg(F.collect_set("__h").alias("__drop"), F.collect_set(F.when(first, F.col("__pos"))).alias("__keep"))
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x, i: ~F.array_contains("__drop", _key(x)) | F.array_contains("__keep", i))
-    joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["__id"]), "left")
+    drops = drops.withColumnRenamed("__th", "__of")
+    joined = docs.withColumn("__th", F.xxhash64("text"))
+    joined = joined.join(drops, joined["doc_id"].eqNullSafe(drops["__id"]) & (joined["__th"] == drops["__of"]), "left")
     out = joined.withColumn("__kept", F.when(F.col("__drop").isNotNull(), kept))
     if counts:
         n = F.coalesce(F.size(lines), F.lit(0)).cast("long")
         n = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n)
         out = out.withColumn("n_lines", n).withColumn("n_removed", F.when(F.col("__kept").isNull(), F.lit(0)).otherwise(n - F.size("__kept")).cast("long"))
     out = out.withColumn("text", F.when(F.col("__kept").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col("text")))
-    names = [*docs.columns, *(["n_lines", "n_removed"] if counts else [])]
+    more = ["n_lines", "n_removed"] if counts else []
+    names = [*(c for c in docs.columns if c not in more), *more]
     return out.select(*names)
 
 
