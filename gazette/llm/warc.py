@@ -26,7 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm.common import scratch, table
+from gazette.llm.common import materialize, scratch, table
+
+#: Repeated payloads (digest and page, some 100 bytes) up to which they are broadcast; beyond, the join shuffles, salted.
+BROADCAST_ROWS = 100_000
+#: Parts into which that join deals the holders of each payload.
+SALTS = 32
 
 # The fields of a header line by version, and the first line's version number.
 ARC_FIELDS = {
@@ -141,8 +146,15 @@ def _b32(hex_digest: str) -> str:
 def write_warc(documents: DataFrame, digests: DataFrame, path: str, least: int = 1000) -> None:
     """The documents of read_arc as WARC archives; digests: the same without contents."""
     best = digests.where(F.col("payload_bytes") >= least).groupBy("sha1").agg(F.max("page_id").alias("target"), F.count("*").alias("holders"))
-    best = best.where("holders > 1").select(F.col("sha1").alias("__sha1"), "target")
-    rows = documents.join(best, (F.col("sha1") == F.col("__sha1")) & (F.col("payload_bytes") >= least), "left").drop("__sha1")
+    best = materialize(best.where("holders > 1").select(F.col("sha1").alias("__sha1"), "target"), "repeated")
+    same = (F.col("sha1") == F.col("__sha1")) & (F.col("payload_bytes") >= least)
+    if best.count() <= BROADCAST_ROWS:
+        rows = documents.join(F.broadcast(best), same, "left")
+    else:
+        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+        parts = best.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = documents.withColumn("__salt", salt).join(parts, same & (F.col("__salt") == F.col("__part")), "left")
+    rows = rows.drop("__sha1", "__salt", "__part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,7 +182,7 @@ def write_warc(documents: DataFrame, digests: DataFrame, path: str, least: int =
                 out.append("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + CRLF + block)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    rows.mapInArrow(run, "value string").write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
+    rows.mapInArrow(run, "value string").write.option("maxRecordsPerFile", 20_000).option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
 
 
 def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
