@@ -5,7 +5,7 @@ features gives weights, so that a weighted sum of features ranks documents. The
 training scores: the share of bad rows among the labels. Scores are the logistic of the distance to it.
 
 The weights are fitted on a bounded sample: at most ``max_labels`` labelled rows, those of the least hash of
-their id, and ``pairs_each`` partners for each row of the rarer label. Features read whole texts.
+their id (of texts that repeat an id, one), and ``pairs_each`` partners for each row of the rarer label. Features read whole texts.
 
 Defined cases: null text is empty; labels other than 0 and 1 or without an id are ignored; where one label is
 missing all scores are the share of the other (0.5 without any); every row gets a score.
@@ -101,7 +101,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, pairs_each
             x = [features(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__y"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    found = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, y int, x array<double>").limit(2 * max_labels).toArrow().to_pylist()
+    # of rows that repeat a doc_id and label the one of the least features, so that there are as many as labels
+    found = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, y int, x array<double>").groupBy("doc_id", "y").agg(F.min("x").alias("x")).toArrow().to_pylist()
     found.sort(key=lambda r: (r["doc_id"], r["y"], r["x"]))
     return bradley_terry(np.array([r["x"] for r in found]).reshape(len(found), WIDTH), np.array([r["y"] for r in found], int), pairs_each)
 

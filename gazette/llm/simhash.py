@@ -84,7 +84,7 @@ class _Sets:
         return int(self.roots(np.array([i]))[0])
 
 
-def tree_links(points: np.ndarray, radius: int, leaf: int = 48) -> list[tuple[int, int]]:
+def tree_links(points: np.ndarray, radius: int, leaf: int = 8) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of points (uint64) at a distance of at most radius."""
     sets, out = _Sets(len(points)), []
 

@@ -99,6 +99,20 @@ def test_line_dedup_stage_takes_short_lines(spark):
         assert got[i].text.split("\n") == [x for x in lines if x not in ("All rights reserved.", "Les.")] and got[i].n_chars == len(got[i].text)
 
 
+def test_line_dedup_of_clashing_columns_and_repeated_ids(spark):
+    common, other = "one line that stands on very many sites", "another line that stands on very many sites"
+    rows = [row(i, f"{common}\n{other}\nown words of number {i} here", f"s{i}") for i in range(12)]
+    rows += [row(1, f"{other}\n{common}", "s1"), row(50, None, "s2"), row(50, None, "s2")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = line_dedup.remove_boilerplate(df, counts=True)
+    assert sorted(got.columns) == sorted({*df.columns, "n_removed"}) and got.count() == len(rows)
+    by = defaultdict(list)
+    for r in got.collect():
+        by[r.doc_id].append((r.text, r.n_lines, r.n_removed))
+    assert by[0] == [(f"{common}\n{other}\nown words of number 0 here", 3, 0)] and by[2] == [("own words of number 2 here", 3, 2)]
+    assert sorted(by[1]) == [("", 2, 2), ("own words of number 1 here", 3, 2)] and by[50] == [(None, 0, 0)] * 2
+
+
 def test_line_dedup_shuffles_as_it_broadcasts(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     one, other = (sorted(map(tuple, line_dedup.remove_boilerplate(docs, counts=True, broadcast_rows=n).select("doc_id", "text", "n_removed").collect())) for n in (10**6, 0))
@@ -240,11 +254,26 @@ def test_packing_round_trip(spark, docs, texts):
 
 
 def test_tokens_of_odd_texts():
-    tok = packing.Tokens(packing.default_tokenizer())
+    from tokenizers import Tokenizer
+
+    tok, plain = packing.Tokens(packing.default_tokenizer()), Tokenizer.from_file(packing.default_tokenizer())
+    assert list(np.frombuffer(tok.ids("a<|endoftext|> b"), "<u4")) == plain.encode("a<|endoftext|> b", add_special_tokens=False).ids and 50256 in plain.encode("<|endoftext|>").ids
     parts = ["a", "Bé", " ", "  ", "\n", "\n\n", "'s", "'", '"', "12", ".", "!?", "\x85", "\x1c", "ß", "中文", "😀", "don't", "<|endoftext|>", "\t", "_"]
     for _ in range(1500):
         t = "".join(RNG.choice(parts) for _ in range(RNG.randint(0, 25)))
-        assert tok.ids(t) == np.array(tok.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+        assert tok.ids(t) == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+
+
+def test_fit_comes_near_the_least_squares():
+    """What the descent leaves of the histogram against an exact non-negative fit by many more sweeps."""
+    rng = np.random.default_rng(6)
+    h = np.bincount(rng.integers(1, 65, 4000), minlength=65)
+    h[0] = 0
+    found = packing.patterns(64, np.flatnonzero(h))
+    uses = np.stack([(found == v).sum(1) for v in range(65)], 1)
+    uses[:, 0] = 0
+    left = [float(((h - x @ uses) ** 2).sum()) for x in (packing.fit_repeats(found, h), packing.fit_repeats(found, h, sweeps=2000))]
+    assert left[0] <= 1.2 * left[1] + 0.01 * float((h**2).sum())
 
 
 def test_plan_places_every_piece():
@@ -270,6 +299,18 @@ def test_quality_ranks_held_out(spark):
     assert sum(r.predicted == labels[r.doc_id] for r in held) / len(held) > 0.97
 
 
+def test_quality_of_ties_repeats_and_one_label(spark):
+    rows = [row(i, sentence(60)) for i in range(40)] + [row(100 + i, "## $$ !!") for i in range(40)] + [row(100, "## $$ !!"), row(3, "another text of this id"), row(900, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    label = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int")
+    both = label([(i, 1) for i in range(40)] + [(100 + i, 0) for i in range(40)] + [(100, 0), (3, 1), (None, 1), (4, 9)])
+    weights = quality.fit(df, both).weights
+    assert np.array_equal(weights, quality.fit(df.repartition(7), both).weights)
+    got = {r.doc_id: r.s for r in df.select("doc_id", quality.score(df["text"], quality.fit(df, both)).alias("s")).collect()}
+    assert min(got[i] for i in range(40) if i != 3) >= 0.5 > max(got[100 + i] for i in range(40)) and len({got[100 + i] for i in range(40)}) == 1
+    assert quality.fit(df, label([(1, 1), (2, 1)])).base == 1.0 and quality.fit(df, label([(1, 0)])).base == 0.0 and quality.fit(df, label([])).base == 0.5
+
+
 def test_common_seeds_keep_every_holder_linked(spark, monkeypatch):
     """Salted or not, the holders of a seed are joined to its first one, over the first of their part."""
     shared = sentence(70)
@@ -710,6 +751,22 @@ def test_warc_round_trip(spark, tmp_path):
     assert len({r.record_id for r in got.values()}) == 8
 
 
+def test_warc_of_repeated_largest_ids_common_payloads_and_nothing(spark, tmp_path, monkeypatch):
+    rows = [(i, f"u{i}", "z" * 1500) for i in range(60)] + [(59, "v", "z" * 1500), (7, "w", "other"), (None, None, None)]
+
+    def result(name, rows):
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+        warc.write_arc(pages, str(tmp_path / f"{name}-arc"))
+        warc.convert(spark, str(tmp_path / f"{name}-arc"), str(tmp_path / f"{name}-warc"))
+        return sorted((str(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_warc(spark, str(tmp_path / f"{name}-warc")).collect())
+
+    got = result("a", rows)
+    assert sum(r[2] == "response" for r in got) == 4 and all(r[3] == 59 for r in got if r[2] == "revisit") and len(got) == 63
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    assert result("b", rows) == got
+    assert result("c", []) == []
+
+
 def test_arc_versions():
     v2 = b"filedesc://x 0.0.0.0 20010203040506 text/plain 200 - - 0 x 4\n2 0\nhttp://h 1.2.3.4 20010203040506 text/html 200 - - 9 x 5\nab\ncd\n"
     assert [(r["version"], r["block"], r["Result-code"]) for r in warc.arc_records(v2)] == [(2, b"ab\ncd", "200")]
@@ -736,6 +793,35 @@ def test_pipeline_stages(spark, texts):
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in left.select("doc_id").collect()}
 
 
+def test_pipeline_run(spark, tmp_path):
+    """run() on whole tables, on odd rows, and on empty tables, against what each stage must do."""
+    import corpus_pipeline
+
+    def tables(name, docs, bench, labels):
+        for t, rows, schema in (("documents", docs, "doc_id long, text string, lang string, source string, n_chars long"), ("benchmark", bench, "item_id long, text string"), ("labels", labels, "doc_id long, quality int, toxic int")):
+            spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{tmp_path}/{name}/{t}.parquet")
+        return f"{tmp_path}/{name}"
+
+    doc = lambda i, t, source="s": (i, t, "en", source, len(t or ""))
+    leak, copied, line = sentence(40), sentence(90), "this very line is on all the sites there are"
+    good = {i: f"{sentence(80)}.\n{line}\n{sentence(60)}." for i in range(30)}
+    rows = [doc(i, t, f"s{i % 15}") for i, t in good.items()] + [doc(100 + i, "### $$$ !!! ###") for i in range(20)]
+    rows += [doc(200, copied), doc(201, copied), doc(202, copied + " more"), doc(300, f"{sentence(50)} {leak} {sentence(50)}"), doc(400, None), doc(401, ""), doc(None, sentence(70)), doc(5, good[5], "s5")]
+    d = tables("odd", rows, [(1, leak), (2, None)], [(i, 1, 0) for i in range(30)] + [(100 + i, 0, 0) for i in range(20)] + [(None, 1, 0)])
+    got = corpus_pipeline.run(spark, d).collect()
+    ids = {r.doc_id for r in got}
+    assert set(range(30)) <= ids and 200 in ids and None in ids and not ids & {201, 202, 300, *range(100, 120)}
+    held = defaultdict(int)
+    for r in got:
+        held[r.sequence_id] += r.length
+    assert max(held.values()) <= 1024
+    # the line stays in the first document alone, so all others are shorter by its tokens
+    tok = packing.Tokens(packing.default_tokenizer())
+    size = lambda i: sum(r.length for r in got if r.doc_id == i)
+    assert size(0) == len(tok.ids(good[0])) // 4 + 1 and all(size(i) == len(tok.ids(good[i].replace(line + "\n", ""))) // 4 + 1 for i in range(1, 30))
+    assert corpus_pipeline.run(spark, tables("none", [], [], [])).count() == 0
+
+
 def test_near_dedup_stage_reaches_a_jaccard_of_080(spark):
     """The stage against brute force, on pairs at a 5-word shingle Jaccard of 0.6 to 0.97."""
     import corpus_pipeline
