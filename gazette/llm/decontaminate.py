@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions alone.
 
-Numbers, units after numbers, and capitalised words inside a sentence become typed placeholders that carry
-their value; the rest is lower-cased and freed of punctuation. Windows of ``k`` template words of the
+Numbers, units after or at numbers, and capitalised words, wherever they stand, become typed placeholders that carry
+their value; the rest is lower-cased and freed of punctuation. A window of placeholders alone has no template and is met by its values. Windows of ``k`` template words of the
 benchmark meet those of the documents in a hash join. A document leaks an item if it holds at least
 ``similarity`` of the item's windows and the values in the placeholders are consistent: a value of the item
 stands for the same value of the document throughout, so re-parameterised questions are caught as well. A document
@@ -30,11 +30,13 @@ def _valued(text: Column) -> Column:
     """The text with placeholders for names, numbers and units, each with =value. Patterns that few texts need run on those alone."""
     t = F.coalesce(text, F.lit(""))
     t = F.when(F.contains(t, F.lit("=")) | F.contains(t, F.lit("§")) | F.contains(t, F.lit("_")), F.translate(t, "=§_", "   ")).otherwise(t)
+    glued = rf"(?i)(?<![\p{{L}}\p{{N}}])([0-9]++(?:[.,:/][0-9]++)*+)(?=(?:{'|'.join(UNITS.split())})(?![\p{{L}}\p{{N}}]))"
     number = r"(?=[0-9])(?<![\p{L}\p{N}])[0-9]++(?:[.,:/][0-9]++)*+(?![\p{L}\p{N}])"
     unit = rf"(?i)(§n=[0-9.,:/]++\x20)({'|'.join(UNITS.split())})(?![\p{{L}}\p{{N}}])"
-    valued = F.regexp_replace(F.regexp_replace(t, number, "§n=$0"), unit, "$1§u=$2")
+    apart = F.when(F.regexp(t, F.lit(r"[0-9]\p{L}")), F.regexp_replace(t, glued, "$1 ")).otherwise(t)
+    valued = F.regexp_replace(F.regexp_replace(apart, number, "§n=$0"), unit, "$1§u=$2")
     t = F.when(F.regexp(t, F.lit("[0-9]")), F.regexp_replace(valued, r"(?<=[0-9])[.,:/](?=[0-9])", "_")).otherwise(t)
-    return F.lower(F.regexp_replace(t, r"\p{Lu}(?<=[\p{Ll},;][\x20\x09].)[\p{L}'’-]*+", "§p=$0"))
+    return F.lower(F.regexp_replace(t, r"\p{Lu}(?<![\p{L}\p{N}'’=-].)[\p{L}'’-]*+", "§p=$0"))
 
 
 def _template(rows: DataFrame) -> DataFrame:
@@ -42,7 +44,7 @@ def _template(rows: DataFrame) -> DataFrame:
     keys = [c for c in rows.columns if c != "__text"]
     rows = rows.select(*keys, _valued(F.col("__text")).alias("__t"))
     rows = rows.select(*keys, F.array_remove(F.split("__t", r"[^\p{L}\p{N}§=_]+"), "").alias("__v"), F.contains("__t", F.lit("§")).alias("__any"))
-    return rows.select(*keys, "__v", F.when(F.col("__any"), F.transform("__v", lambda x: F.substring_index(x, "=", 1))).otherwise(F.col("__v")).alias("__c"))
+    return rows.select(*keys, "__any", "__v", F.when(F.col("__any"), F.transform("__v", lambda x: F.substring_index(x, "=", 1))).otherwise(F.col("__v")).alias("__c"))
 
 
 def _starts(k: int) -> Column:
@@ -54,10 +56,19 @@ def _window(i: Column, k: int, of: str = "__c") -> list[Column]:
     return [F.get(F.col(of), i + j if j else i) for j in range(k)]
 
 
+def _hash(i: Column, k: int) -> Column:
+    """Of the template's words, or of the values where they are all placeholders."""
+    own = [F.coalesce(F.startswith(w, F.lit("§")), F.lit(True)) for w in _window(i, k)]
+    none = own[0]
+    for x in own[1:]:
+        none = none & x
+    return F.when(F.col("__any") & none, F.xxhash64(*_window(i, k, "__v"))).otherwise(F.xxhash64(*_window(i, k)))
+
+
 def _hashes(rows: DataFrame, k: int) -> DataFrame:
     """The keys with __h of each window."""
     keys = [c for c in rows.columns if c != "__text"]
-    return _template(rows).select(*keys, F.explode(F.transform(_starts(k), lambda _, i: F.xxhash64(*_window(i, k)))).alias("__h"))
+    return _template(rows).select(*keys, F.explode(F.transform(_starts(k), lambda _, i: _hash(i, k))).alias("__h"))
 
 
 def _windows(rows: DataFrame, k: int) -> DataFrame:
@@ -66,7 +77,7 @@ def _windows(rows: DataFrame, k: int) -> DataFrame:
 
     def window(_, i: Column) -> Column:
         values = F.concat_ws("|", *_window(i, k, "__v"))
-        return F.struct(i.alias("i"), F.xxhash64(*_window(i, k)).alias("h"), F.when(F.contains(values, F.lit("§")), values).alias("s"))
+        return F.struct(i.alias("i"), _hash(i, k).alias("h"), F.when(F.contains(values, F.lit("§")), values).alias("s"))
 
     return _template(rows).select(*keys, F.explode(F.transform(_starts(k), window)).alias("__w")).select(*keys, F.col("__w.i").alias("__i"), F.col("__w.h").alias("__h"), F.col("__w.s").alias("__s"))
 
@@ -80,8 +91,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity: float =
     """__id, __th (hash of the text), item_id, coverage of every leak."""
     items = benchmark.select(F.col("item_id").alias("__item"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__ith"), F.coalesce("text", F.lit("")).alias("__text"))
     own = _windows(items, k)
-    # an item may stand inside a sentence, where its first word counts as a name
-    inside = _windows(items.withColumn("__text", F.concat(F.lit("x "), F.col("__text"))), k).where("__i > 0").withColumn("__i", F.col("__i") - 1)
+    # an item may stand inside a sentence, where its first word may be written small
+    inside = _windows(items.withColumn("__text", F.concat(F.lower(F.substring("__text", 1, 1)), F.expr("substring(__text, 2)"))), k).where("__i = 0")
     sizes = own.groupBy("__item", "__ith").agg(F.count("*").alias("__of"))
     wins = own.unionByName(inside).distinct()
     wins = materialize(wins.join(sizes, wins["__item"].eqNullSafe(sizes["__item"]) & (wins["__ith"] == sizes["__ith"])).select(wins["__item"], wins["__ith"], F.col("__i").alias("__bi"), "__h", F.col("__s").alias("__bs"), "__of"), "windows")

@@ -458,6 +458,17 @@ def test_decontamination(spark):
     assert got == {(1, 1), (2, 1)}
 
 
+def test_names_at_the_start_of_sentences_and_numbers_at_units(spark):
+    item = "Tom has 3 apples. Tom buys 2 more at the shop. Then Tom walks 5 km home. How many apples has Tom?"
+    other = "Kim has 8 apples. Kim buys 9 more at the shop. Then Kim walks 7km home. How many apples has Kim?"
+    heads = " ".join(["Alpha Beta Gamma Delta Omega Sigma Kappa"] * 9)
+    titles = "Red Green Blue White Black Grey Brown"
+    t = {1: f"{sentence(9)}. {other} {sentence(9)}", 3: heads, 4: f"{sentence(3)} {titles} {sentence(3)}", 5: f"We said: {item[0].lower()}{item[1:]}"}
+    bench = spark.createDataFrame([(1, item), (2, titles)], "item_id long, text string")
+    got = {(r["__id"], r.item_id) for r in decontaminate.leaks(spark.createDataFrame([row(i, x) for i, x in t.items()], SCHEMA), bench).collect()}
+    assert {(1, 1), (4, 2), (5, 1)} == got
+
+
 def test_slots_must_be_consistent(spark):
     item = "take 3 cups and 3 bowls and 3 forks and 3 spoons and 3 plates then 3 pots"
     good, bad = item.replace("3", "8"), item
