@@ -199,6 +199,10 @@ def test_suffix_tree_against_brute_force(spark, docs, texts):
     # each state gives a distribution
     for ctx in [c for c in tree.memo if tree.memo[c] is not None][:300:10]:
         assert sum(tree.p(ctx, s) for s in tree.root) + tree.p(ctx, None) == pytest.approx(1, abs=1e-3)
+    # rare words: counts that are looked up give the same base scores
+    plain = {r.doc_id: r for r in lm_scoring.score(docs).collect()}
+    for r in lm_scoring.score(docs, p_known=2e-4, shard_rows=20_000).collect():
+        assert r.base_score == pytest.approx(plain[r.doc_id].base_score, abs=1e-6) and r.n_known == plain[r.doc_id].n_known and r.n_tokens == plain[r.doc_id].n_tokens
     # many shards, common words split among them: the same base, nearly the same gain; depth pays
     split = {r.doc_id: r for r in lm_scoring.score(docs, shard_rows=5000).collect()}
     assert sum(r.score - r.base_score for r in split.values()) == pytest.approx(sum(got.values()), rel=0.1)
