@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 TIME = "M/d/yyyy h:mm:ss a"
 ENTITY = "array<struct<Label:string,Type:string,WikidataId:string,Confidence:double>>"
@@ -37,7 +36,7 @@ def entities(title: Column, abstract: Column) -> Column:
     """Entities of both JSON lists as struct(label, type, wikidata_id, confidence); of equal label and type the first stays."""
 
     def one(c: Column) -> Column:
-        read = F.from_json(c, T._parse_datatype_string(ENTITY), {"mode": "PERMISSIVE"})
+        read = F.from_json(c, ENTITY, {"mode": "PERMISSIVE"})
         return F.transform(F.coalesce(read, F.array().cast(ENTITY)), lambda e: F.struct(F.coalesce(e["Label"], F.lit("")).alias("label"), F.coalesce(e["Type"], F.lit("")).alias("type"), e["WikidataId"].alias("wikidata_id"), e["Confidence"].alias("confidence")))
 
     return first_of(F.concat(one(title), one(abstract)))
@@ -58,6 +57,20 @@ def tagged_entities(clusters: Column, groups: Column) -> Column:
     return F.array_distinct(F.concat(one(clusters, "NER"), one(groups, "GROUP")))
 
 
+def behavior_row(line: Column) -> Column:
+    """One line of a log as a struct: exactly five fields and at least one candidate, else an error."""
+    f = F.split(line, "\t", -1)
+    cand = unlabelled(F.get(f, 4))
+    row = F.struct(f[0].alias("impression_id"), f[1].alias("user_id"), mind_time(f[2], strict=False).alias("ts"), history(f[3]).alias("clicked_history"), cand.alias("candidates"))
+    return F.when((F.size(f) != 5) | (F.size(cand) < 1), F.raise_error(F.concat(F.lit("not a line of five fields with candidates: "), F.substring(line, 1, 80)))).otherwise(row)
+
+
+def labels_of(ranked: Column, candidates: Column, labels: Column) -> Column:
+    """The labels of ranked ids; of repeated candidates the last label counts, an id without one has 0."""
+    pairs = F.reverse(F.arrays_zip(candidates.alias("id"), labels.alias("y")))
+    return F.transform(ranked, lambda r: F.coalesce(F.get(F.filter(pairs, lambda p: p["id"] == r), F.lit(0))["y"], F.lit(0)))
+
+
 def labels(inview: Column, clicked: Column) -> Column:
     """1 for each candidate among the clicked ones."""
     return F.transform(inview, lambda x: F.coalesce(F.array_contains(clicked, x), F.lit(False)).cast("int"))

@@ -27,14 +27,18 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), F.col("text").alias("cleaned_text"), F.col("source").alias("category"), F.col("lang").alias("subcategory"))
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _events(spark: SparkSession, sf_dir: str, split: str | None = None) -> DataFrame:
+    """split: only events whose week may begin in it, as a range of times that the scan can use."""
     e = table(spark, sf_dir, "events")
+    t, at = F.col("ts"), lambda x: F.lit(x).cast("timestamp_ntz")
+    ends = {"train": t.isNull() | (t < at(VAL) + F.expr("INTERVAL 7 DAYS")), "val": (t >= at(VAL)) & (t < at(TEST) + F.expr("INTERVAL 7 DAYS")), "test": t >= at(TEST)}
+    e = e.where(ends[split]) if split else e
     return e.select("event_id", "ts", "user_id", "event_type", F.regexp_extract("props", "[0-9]+", 0).cast("long").alias("article_id"), F.date_trunc("week", "ts").cast("timestamp_ntz").alias("week"), F.col("event_type").isin("click", "purchase").alias("clicked"))
 
 
 def candidates(spark: SparkSession, sf_dir: str, split: str | None = None) -> DataFrame:
     """impression_id, user_id, ts, split, pos, article_id, label."""
-    e = _events(spark, sf_dir)
+    e = _events(spark, sf_dir, split)
     c = e.groupBy("user_id", "week", "article_id").agg(F.max(F.col("clicked").cast("int")).alias("label"), F.min(F.struct("ts", "event_id")).alias("first"))
     pos = F.row_number().over(Window.partitionBy("user_id", "week").orderBy("first"))
     out = c.select(F.concat("user_id", F.lit("-"), F.date_format("week", "yyyyMMdd")).alias("impression_id"), "user_id", F.col("week").alias("ts"), split_of(F.col("week")).alias("split"), pos.alias("pos"), "article_id", "label")
@@ -46,16 +50,26 @@ def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_of(impressions: DataFrame, clicks: DataFrame, cap: int = CAP) -> DataFrame:
-    """impression_id, history: the last cap clicks strictly before each impression, oldest first (empty if none).
+    """impression_id, user_id, ts, history: the last cap clicks strictly before each impression, oldest first (empty if none).
 
-    One equi join by user; each user's clicks meet the cut-off as an array, so rows never multiply.
+    Clicks are numbered within their user's days, and days by what lies before them, so no task needs all clicks of a user. An impression knows the
+    number of the last click before it and meets the last cap by number; no list is longer than cap. A click without a time lies before all others.
     """
-    held = clicks.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("clicked_at", "event_id", "article_id"))).alias("all"))
-    joined = impressions.select("impression_id", "user_id", "ts").distinct().join(held, "user_id", "left")
-    none = F.array().cast("array<struct<clicked_at:timestamp_ntz,event_id:bigint,article_id:bigint>>")
-    before = F.filter(F.coalesce("all", none), lambda h: h["clicked_at"].isNull() | (h["clicked_at"] < F.col("ts")))
-    joined = joined.select("impression_id", "user_id", "ts", before.alias("h"))
-    return joined.select("impression_id", "user_id", "ts", F.slice("h", F.greatest(F.size("h") - cap, F.lit(0)) + 1, cap).alias("history"))
+    none = F.lit(None).cast("string")
+    moves = clicks.select("user_id", F.col("clicked_at").alias("t"), "event_id", "article_id", F.lit(1).alias("click"), none.alias("impression_id"))
+    asks = impressions.select("impression_id", "user_id", "ts").distinct()
+    both = moves.unionByName(asks.select("user_id", F.col("ts").alias("t"), F.lit(0).alias("click"), F.col("impression_id").cast("string").alias("impression_id")), allowMissingColumns=True)
+    both = both.withColumn("day", F.coalesce(F.to_date("t"), F.lit("0001-01-01").cast("date")))
+    in_day = Window.partitionBy("user_id", "day").orderBy(F.col("t").asc_nulls_first(), "click", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = both.groupBy("user_id", "day").agg(F.sum("click").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    numbered = both.withColumn("n", F.sum("click").over(in_day)).join(days, ["user_id", "day"]).withColumn("n", F.col("n") + F.col("before"))
+    held = numbered.where("click = 1").select("user_id", "n", F.struct(F.col("t").alias("clicked_at"), "event_id", "article_id").alias("h"))
+    need = numbered.where("click = 0 AND n > 0").select("impression_id", "user_id", F.explode(F.sequence(F.greatest(F.col("n") - cap + 1, F.lit(1)), F.col("n"))).alias("n"))
+    met = need.join(held, ["user_id", "n"]).groupBy("impression_id").agg(F.array_sort(F.collect_list("h")).alias("history"))
+    empty = F.array().cast(met.schema["history"].dataType)
+    met = met.select(F.col("impression_id").alias("__id"), "history")
+    return asks.join(met, F.col("impression_id").cast("string") == F.col("__id"), "left").select("impression_id", "user_id", "ts", F.coalesce("history", empty).alias("history"))
 
 
 def history_rows(histories: DataFrame) -> DataFrame:

@@ -96,7 +96,7 @@ def summary(rows: DataFrame, by_slice: DataFrame, names: list[str]) -> DataFrame
     return g.withColumn("frac_population", F.round(share, 6)).withColumn("flagged", (F.col("slice") != "all") & ((share < 0.01) | (share > 0.99))).drop("total")
 
 
-def bootstrap(rows: DataFrame, metric: str, by: str, resamples: int = 1000, seed: int = 42, shards: int = 64) -> DataFrame:
+def bootstrap(rows: DataFrame, metric: str, by: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
     """by, mean, ci_low, ci_high: Poisson bootstrap of the mean, percentiles 2.5 and 97.5.
 
     Each row draws its own multiplicity in every resample from a generator seeded by the row's key, so a group is summed

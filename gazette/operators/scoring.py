@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from gazette.functions.text import tokens
 from gazette.functions.vectors import dot, normalize, weighted_sum
 from gazette.operators.impressions import history_rows
+from gazette.operators.reuse import reused, small
 
 def imp():
     """A window over each impression."""
@@ -16,13 +17,21 @@ def imp():
 K1, B = 1.5, 0.75
 #: Keeps scores that lie between two rounded values from falling to either side by the order of a sum.
 TINY = 1e-9
+#: Terms (some 60 bytes each) up to which their weights are broadcast, and query vectors that are sent to the tasks at once.
+BROADCAST_TERMS, QUERY_BLOCK = 1_000_000, 2048
 
 
 def corpus(articles: DataFrame, lang: str = "en", stopwords: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(tf: article_id, term, tf, dl), (idf: term, df, idf), (stats: n, avgdl). Negative idf becomes a quarter of the mean."""
+    """(tf: article_id, term, tf, dl), (idf: term, df, idf), (stats: n, avgdl). Negative idf becomes a quarter of the mean.
+
+    Texts are cut into tokens once; df, stats and both sides of a score read the counts.
+    """
     doc = articles.select("article_id", tokens(F.col("cleaned_text"), lang, stopwords).alias("t"))
-    stats = doc.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    tf = doc.select("article_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("article_id", "dl", "term").agg(F.count("*").alias("tf"))
+    # a row without a term stands for each article, so that those without tokens count
+    held = doc.select("article_id", F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "t")).alias("term"))
+    held = reused(held.groupBy("article_id", "dl", "term").agg(F.count("*").alias("tf")), "term-counts")
+    stats = held.where("term IS NULL").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+    tf = held.where("term IS NOT NULL")
     df = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats))
     raw = df.select("term", "df", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
@@ -30,17 +39,80 @@ def corpus(articles: DataFrame, lang: str = "en", stopwords: bool = False) -> tu
     return tf, idf, stats
 
 
+def weights(articles: DataFrame, lang: str = "en", stopwords: bool = False, k1: float = K1, b: float = B) -> DataFrame:
+    """article_id, term, tf, w: what each term of an article adds to a score, by its frequency there."""
+    tf, idf, stats = corpus(articles, lang, stopwords)
+    joined = tf.join(small(idf, BROADCAST_TERMS), "term").join(F.broadcast(stats))  # one row
+    return joined.select("article_id", "term", "tf", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("w"))
+
+
+def search_bm25(articles: DataFrame, queries: Column, k: int = 20, lang: str = "en", stopwords: bool = False) -> DataFrame:
+    """query_id, article_id, score, rank: the best k of all articles for the text of each article that queries picks."""
+    w = weights(articles, lang, stopwords)
+    q = w.where(queries).select(F.col("article_id").alias("query_id"), "term", F.col("tf").alias("qtf"))
+    s = w.join(q, "term").groupBy("query_id", "article_id").agg(F.round(F.sum(F.col("qtf") * F.col("w")) + TINY, 4).alias("score"))
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "article_id"))
+    return s.withColumn("rank", best).where(F.col("rank") <= k)
+
+
+def search_vectors(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
+    """query_id, article_id, score, rank: the best k of all vectors by inner product, for each vector that queries picks.
+
+    Queries go to the tasks in blocks of bounded size; a task sends on at most k rows for each query and batch.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def block(ids: np.ndarray, q: np.ndarray) -> DataFrame:
+        def run(batches):
+            for b in batches:
+                own = b.column("article_id").to_numpy(zero_copy_only=False)
+                held = b.column("vec")
+                x = held.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
+                s = np.round(q @ x.T + TINY, 6)
+                top = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
+                n = top.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(own[top].ravel()), pa.array(np.take_along_axis(s, top, 1).ravel())], ["query_id", "article_id", "score"])
+
+        return vectors.where("vec IS NOT NULL").select(F.col("article_id").cast("long").alias("article_id"), "vec").mapInArrow(run, "query_id long, article_id long, score double")
+
+    found, ids, rows = None, [], []
+
+    def add():
+        nonlocal found, ids, rows
+        if ids:
+            more = block(np.array(ids, np.int64), np.array(rows, np.float64))
+            found = more if found is None else found.unionByName(more)
+            ids, rows = [], []
+
+    for r in vectors.where(queries & F.col("vec").isNotNull()).select("article_id", "vec").orderBy("article_id").toLocalIterator():
+        ids.append(r.article_id)
+        rows.append(r.vec)
+        if len(ids) == QUERY_BLOCK:
+            add()
+    add()
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, article_id long, score double, rank int")
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "article_id"))
+    return found.withColumn("rank", best).where(F.col("rank") <= k)
+
+
+def recency_weight(clicked_at: Column, ts: Column, days: float = 7.0) -> Column:
+    """exp(-age / days), no age under zero; a click without a time weighs 1."""
+    age = F.greatest(F.unix_micros(ts.cast("timestamp")) - F.unix_micros(clicked_at.cast("timestamp")), F.lit(0)) / 1e6
+    return F.coalesce(F.when(clicked_at.isNotNull(), F.exp(-age / (days * 86400))), F.lit(1.0))
+
+
 def bm25(cand: DataFrame, histories: DataFrame, articles: DataFrame, lang: str = "en", stopwords: bool = False, k1: float = K1, b: float = B) -> DataFrame:
     """cand with score: BM25 of each candidate for its history's texts as query, terms with multiplicity.
 
     The score is a sum over history articles, so each pair of (history, candidate) articles that occurs is
     scored once, and impressions only add up pair scores: the term joins grow with pairs of articles, not with impressions.
     """
-    tf, idf, stats = corpus(articles, lang, stopwords)
     h = history_rows(histories).groupBy("impression_id", F.col("article_id").alias("h")).agg(F.count("*").alias("times"))
     met = cand.select("impression_id", "article_id").distinct().join(h, "impression_id")
     pairs = met.select("h", "article_id").distinct()
-    weight = tf.join(idf, "term").join(F.broadcast(stats)).select("article_id", "term", "tf", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("w"))
+    weight = weights(articles, lang, stopwords, k1, b)
     query = weight.select(F.col("article_id").alias("h"), "term", F.col("tf").alias("qtf"))
     scored = pairs.join(query, "h").join(weight.select("article_id", "term", "w"), ["article_id", "term"]).groupBy("h", "article_id").agg(F.sum(F.col("qtf") * F.col("w")).alias("s"))
     total = met.join(scored, ["h", "article_id"]).groupBy("impression_id", "article_id").agg(F.sum(F.col("times") * F.col("s")).alias("s"))

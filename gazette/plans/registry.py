@@ -54,7 +54,7 @@ def _blended(spark, d, beta=0.8):
 
 
 def _hybrid(spark, d, alpha=0.8):
-    pop = F.broadcast(_train_pop(spark, d).select("article_id", "clicks"))  # a row for each article seen in training
+    pop = _train_pop(spark, d).select("article_id", "clicks")
     j = _cosine(spark, d).join(pop, "article_id", "left").withColumn("lp", F.log1p(F.coalesce("clicks", F.lit(0)))).drop("clicks")
     return S.rank(S.blend(j, "score", "lp", alpha))
 
@@ -125,9 +125,10 @@ def first_n_sample(spark, d):
     return I.candidates(spark, d, "val").select("impression_id").distinct().orderBy("impression_id").limit(25)
 
 
-@query()
+@query("SELECT impression_id FROM (SELECT DISTINCT impression_id FROM val) ORDER BY md5(concat('42-', impression_id)), impression_id LIMIT 25")
 def hashed_sample(spark, d):
-    return I.candidates(spark, d, "val").select("impression_id").distinct().orderBy(F.xxhash64(F.lit(42), "impression_id"), "impression_id").limit(25)
+    key = F.md5(F.concat(F.lit("42-"), F.col("impression_id").cast("string")).cast("binary"))
+    return I.candidates(spark, d, "val").select("impression_id").distinct().orderBy(key, "impression_id").limit(25)
 
 
 # ---- parsing, over logs written out in their raw form ----
@@ -182,6 +183,12 @@ def tokenize(spark, d):
     return a.select("article_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_terms"))
 
 
+@query(r"SELECT article_id, len(ts) AS n_tokens, len(list_distinct(ts)) AS n_terms FROM (SELECT article_id, regexp_extract_all(lower(cleaned_text), '[\p{L}\p{M}\p{Nd}\p{Pc}]+') AS ts FROM art)")
+def tokenize_danish(spark, d):
+    a = I.articles(spark, d).select("article_id", tokens(F.col("cleaned_text"), "da").alias("t"))
+    return a.select("article_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_terms"))
+
+
 @query("SELECT article_id, dl AS n_tokens FROM dls")
 def tokenize_stopwords(spark, d):
     return I.articles(spark, d).select("article_id", F.size(tokens(F.col("cleaned_text"), stopwords=True)).cast("long").alias("n_tokens"))
@@ -203,8 +210,7 @@ def history_as_of(spark, d):
 @query("SELECT impression_id, article_id, back, round(exp(-greatest(epoch(ts) - epoch(clicked_at), 0) / 604800.0), 6) AS weight FROM hist")
 def recency_weights(spark, d):
     h = I.history_rows(_history(spark, d, None))
-    age = F.greatest(F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("clicked_at").cast("timestamp")), F.lit(0)) / 1e6
-    return h.select("impression_id", "article_id", F.col("back").cast("long").alias("back"), F.round(F.exp(-age / 604800.0), 6).alias("weight"))
+    return h.select("impression_id", "article_id", F.col("back").cast("long").alias("back"), F.round(S.recency_weight(F.col("clicked_at"), F.col("ts")), 6).alias("weight"))
 
 
 @query("SELECT impression_id, article_id, back, round(pow(0.9, back - 1) / sum(pow(0.9, back - 1)) OVER (PARTITION BY impression_id), 6) AS weight FROM hist")
@@ -266,13 +272,11 @@ def bm25_stopwords_ranking(spark, d):
     return S.rank(_bm25(spark, d, True)).select(*_COLS)
 
 
-@query("SELECT article_id, round(s, 6) AS score FROM (SELECT w.article_id, sum(q.tf * w.w) AS s FROM tf_bm q JOIN w_bm w USING (term) WHERE q.article_id = 7 GROUP BY 1) ORDER BY round(s, 6) DESC, article_id LIMIT 20")
+@query("""SELECT query_id, article_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, article_id) AS rank FROM (
+  SELECT q.article_id AS query_id, w.article_id, round(sum(q.tf * w.w) + 1e-9, 4) AS score FROM tf_bm q JOIN w_bm w USING (term) WHERE q.article_id % 50 = 0 GROUP BY ALL)) WHERE rank <= 20""")
 def bm25_full_corpus(spark, d):
-    tf, idf, stats = S.corpus(I.articles(spark, d))
-    w = tf.join(idf, "term").join(F.broadcast(stats)).withColumn("w", F.col("idf") * F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl"))))
-    q = tf.where("article_id = 7").select("term", F.col("tf").alias("qtf"))
-    s = w.join(q, "term").groupBy("article_id").agg(F.round(F.sum(F.col("qtf") * F.col("w")), 6).alias("score"))
-    return s.orderBy(F.desc("score"), "article_id").limit(20)
+    """Every article whose id is divisible by 50, against all."""
+    return S.search_bm25(I.articles(spark, d), F.col("article_id") % 50 == 0)
 
 
 @query(f"SELECT {', '.join(_COLS)} FROM rcos")
@@ -297,11 +301,11 @@ def self_similarity(spark, d):
     return v.select("article_id", F.round(dot(F.col("v"), F.col("v")), 4).alias("own"))
 
 
-@query("SELECT b.article_id, round(sum(a.x * b.x), 6) AS score FROM emb a JOIN emb b USING (d) WHERE a.article_id = 3 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+@query("""SELECT query_id, article_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, article_id) AS rank FROM (
+  SELECT a.article_id AS query_id, b.article_id, round(sum(a.x * b.x) + 1e-9, 6) AS score FROM emb a JOIN emb b USING (d) WHERE a.article_id % 50 = 0 GROUP BY ALL)) WHERE rank <= 10""")
 def full_catalog_top_k(spark, d):
-    v = I.unit_vectors(spark, d)
-    q = F.broadcast(v.where("article_id = 3").select(F.col("vec").alias("q")))  # one row
-    return v.join(q).select("article_id", F.round(dot(F.col("q"), F.col("vec")), 6).alias("score")).orderBy(F.desc("score"), "article_id").limit(10)
+    """Every vector whose id is divisible by 50, against all."""
+    return S.search_vectors(I.unit_vectors(spark, d), F.col("article_id") % 50 == 0)
 
 
 @query("""SELECT v.impression_id, v.article_id, v.pos, v.label, round(coalesce(s, 0), 6) AS score FROM val v LEFT JOIN (
@@ -484,6 +488,59 @@ def prediction_lines(spark, d):
     return ranks_by_candidate(S.rank(_cosine(spark, d), "id"))
 
 
+def _lines(name, make, part):
+    @query(f"SELECT impression_id, concat(impression_id, ' [', string_agg(CAST(rank AS VARCHAR), ',' ORDER BY pos), ']') AS line FROM {part} GROUP BY 1")
+    def f(spark, d):
+        from gazette.sources.submission import ranks_by_candidate
+
+        return ranks_by_candidate(make(spark, d))
+
+    QUERIES[name], SQL[name] = QUERIES.pop("f"), SQL.pop("f")
+
+
+#: Ways to rank the candidates of a submission, each with the name of its ranking in SQL.
+SCORERS = {
+    "cosine": (lambda s, d: S.rank(_cosine(s, d), "id"), "rcos"), "bm25": (lambda s, d: S.rank(_bm25(s, d)), "rbm"), "blend": (_blended, "rblended"), "hybrid": (_hybrid, "rhybrid"),
+    "category": (_catblend, "rcatblend"), "decayed": (lambda s, d: S.rank(_cosine(s, d, 0.9)), "rdcos"),
+}
+for _name, (_make, _part) in SCORERS.items():
+    if _name != "cosine":
+        _lines(f"prediction_lines_{_name}", _make, _part)
+
+
+def generate_submission(spark, d, scorer: str, target: str) -> tuple[int, str]:
+    """Ranks every validation impression, checks all lines, packs them as a ZIP; gives the number of lines and the digest."""
+    from gazette.sources import submission
+
+    lines = submission.ranks_by_candidate(SCORERS[scorer][0](spark, d))
+    bad = lines.where(~submission.valid_line(F.col("line"))).limit(1).collect()
+    if bad:
+        raise ValueError(f"not a valid line: {bad[0].line[:80]}")
+    digest = submission.package(lines, target)
+    return submission.validate_package(target), digest
+
+
+@query("SELECT impression_id, user_id % 3 <> 0 OR n = 1 AS valid FROM (SELECT impression_id, any_value(user_id) AS user_id, count(*) AS n FROM val GROUP BY 1)")
+def find_invalid_predictions(spark, d):
+    """Lines of which every third user's repeat their first rank in every place."""
+    from gazette.sources.submission import ranks_by_candidate, valid_line
+
+    ranked = S.rank(_cosine(spark, d), "id").withColumn("rank", F.when(F.col("user_id") % 3 == 0, F.lit(1)).otherwise(F.col("rank")))
+    return ranks_by_candidate(ranked).select("impression_id", valid_line(F.col("line")).alias("valid"))
+
+
+@query("""SELECT n_train, n_val, n_test, round(n_val / (n_train + n_val), 6) AS val_share, n_val * 9 >= n_train AS enough, last_train < first_val AND last_val < first_test AS in_order, n_all = n_train + n_val + n_test AS all_split FROM (
+  SELECT count(*) AS n_all, count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'val') AS n_val, count(*) FILTER (WHERE split = 'test') AS n_test, max(ts) FILTER (WHERE split = 'train') AS last_train,
+  min(ts) FILTER (WHERE split = 'val') AS first_val, max(ts) FILTER (WHERE split = 'val') AS last_val, min(ts) FILTER (WHERE split = 'test') AS first_test FROM imps)""")
+def split_checks(spark, d):
+    """The splits follow one another, hold every impression, and validation at least a tenth of what it is chosen from."""
+    i = I.candidates(spark, d).select("impression_id", "ts", "split").distinct()
+    n, when = (lambda s: F.count_if(F.col("split") == s)), (lambda s: F.when(F.col("split") == s, F.col("ts")))
+    g = i.agg(F.count("*").alias("n_all"), n("train").alias("n_train"), n("val").alias("n_val"), n("test").alias("n_test"), F.max(when("train")).alias("lt"), F.min(when("val")).alias("fv"), F.max(when("val")).alias("lv"), F.min(when("test")).alias("ft"))
+    share = F.round(F.col("n_val") / F.nullif(F.col("n_train") + F.col("n_val"), F.lit(0)), 6)
+    return g.select("n_train", "n_val", "n_test", share.alias("val_share"), (F.col("n_val") * 9 >= F.col("n_train")).alias("enough"), ((F.col("lt") < F.col("fv")) & (F.col("lv") < F.col("ft"))).alias("in_order"), (F.col("n_all") == F.col("n_train") + F.col("n_val") + F.col("n_test")).alias("all_split"))
+
+
 @query("SELECT impression_id, concat(impression_id, ' [', string_agg(CAST(pos AS VARCHAR), ',' ORDER BY rank), ']') AS line FROM rcos GROUP BY 1")
 def positions_by_rank(spark, d):
     from gazette.sources.submission import positions_by_rank as f

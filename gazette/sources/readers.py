@@ -9,9 +9,24 @@ from pyspark.sql.window import Window
 from gazette.functions import parse
 from gazette.functions.vectors import normalize
 
+# The columns of the public log format, and the places where files of a data set may lie, best first.
 NEWS = ["news_id", "category", "subcategory", "title", "abstract", "url", "title_entities", "abstract_entities"]
 BEHAVIORS = ["impression_id", "user_id", "time", "history", "impressions"]
 
+BEHAVIOR_FILES = ["test/behaviors.tsv", "*test*/behaviors.tsv", "behaviors.tsv"]
+PARQUET_TESTS = ["test/behaviors.parquet", "*test*/test/behaviors.parquet", "*test*/behaviors.parquet"]
+VECTOR_FILES = {"default": ["*document_vector*.parquet", "*/document_vector.parquet"], "w2v": ["*document_vector*.parquet", "*/document_vector.parquet"], "bert": ["*bert*.parquet", "*bert*/*.parquet"]}
+
+
+def find_first(spark: SparkSession, root: str, patterns: list[str]) -> str:
+    """The first path under root, in the order of the patterns and then of names; looked up by Spark's file systems, so any store will do."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in patterns:
+        path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{p}")
+        if found := sorted(x.getPath().toString() for x in path.getFileSystem(conf).globStatus(path) or []):
+            return found[0]
+    raise FileNotFoundError(f"none of {', '.join(patterns)} under {root}")
+
 
 def _tsv(spark: SparkSession, path, columns: list[str]) -> DataFrame:
     """Tab-separated, no header, no quoting, all strings; missing fields are null, surplus ones go."""
@@ -85,6 +100,13 @@ def embeddings(spark: SparkSession, path, wanted: DataFrame | None = None) -> Da
     return e.join(wanted.select("article_id"), "article_id", "left_semi") if wanted is not None else e
 
 
+def load_embeddings(spark: SparkSession, root: str, model: str = "default", wanted: DataFrame | None = None) -> DataFrame:
+    """The vectors of a model under root, by its name."""
+    if model not in VECTOR_FILES:
+        raise ValueError(f"{model}: one of {', '.join(VECTOR_FILES)}")
+    return embeddings(spark, find_first(spark, root, VECTOR_FILES[model]), wanted)
+
+
 def embedding_coverage(vectors: DataFrame, wanted: DataFrame) -> DataFrame:
     """The share of the wanted articles that have a vector."""
     j = wanted.select("article_id").distinct().join(vectors.select("article_id", F.lit(1).alias("has")), "article_id", "left")

@@ -12,6 +12,21 @@ def write_table(df: DataFrame, path: str, by: str | None = None) -> None:
     (w.partitionBy(by) if by else w).parquet(path)
 
 
+def replace_table(df: DataFrame, path: str) -> None:
+    """Writes beside the table, then takes its place: a reader sees the old rows or the new ones, and df may read the table itself."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    new, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
+    df.write.mode("overwrite").option("compression", "zstd").parquet(new)
+    at = {x: jvm.org.apache.hadoop.fs.Path(x) for x in (path, new, old)}
+    fs = at[path].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(at[old], True)
+    if fs.exists(at[path]):
+        fs.rename(at[path], at[old])
+    fs.rename(at[new], at[path])
+    fs.delete(at[old], True)
+
+
 def score_name(dataset: str, retriever: str, **config) -> str:
     """One name for a score table, with its whole configuration."""
     return "_".join([dataset, retriever, *[f"{k}-{config[k]}" for k in sorted(config)]])

@@ -11,7 +11,10 @@ from gazette.functions import parse
 from gazette.functions.text import tokens
 from gazette.operators import metrics as M
 from gazette.operators import scoring as S
+from gazette.operators import impressions as I
 from gazette.operators.impressions import as_of, history_rows
+from gazette.operators.reuse import unique_join
+from gazette.plans import registry
 from gazette.sources import readers, submission, writers
 
 
@@ -62,9 +65,86 @@ def test_as_of_is_strict(spark):
     assert sorted((r.back, r.article_id) for r in history_rows(h).collect()) == [(1, 2), (2, 1)]
 
 
+def test_as_of_keeps_clicks_without_a_time_and_numbers_across_days(spark):
+    t = dt.datetime(2024, 3, 1, 12)
+    clicks = [("u", 100 + i, t - dt.timedelta(hours=7 * i), i) for i in range(40)] + [("u", 7, None, 99), ("v", 8, None, 1)]
+    c = spark.createDataFrame(clicks, "user_id string, article_id long, clicked_at timestamp_ntz, event_id long")
+    rows = [("a", "u", t), ("b", "u", t - dt.timedelta(days=3)), ("c", "v", t), ("d", "u", t - dt.timedelta(days=90))]
+    i = spark.createDataFrame(rows, "impression_id string, user_id string, ts timestamp_ntz")
+    got = {r.impression_id: [x.article_id for x in r.history] for r in as_of(i, c, 5).collect()}
+
+    def brute(user, ts):
+        own = sorted(((x[2] is not None, x[2] or t, x[3], x[1]) for x in clicks if x[0] == user and (x[2] is None or x[2] < ts)))
+        return [x[3] for x in own][-5:]
+
+    assert got == {k: brute(u, ts) for k, u, ts in rows} and got["c"] == [8] and got["d"] == [7]
+
+
+def test_history_needs_no_list_of_all_clicks_and_splits_reach_the_scan(spark):
+    d = "/root/testdata/sf0.001"
+    plan = I.candidates(spark, d, "val")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts,2024-01-15" in plan and "LessThan(ts,2024-01-29" in plan
+    held = as_of(I.candidates(spark, d, "val"), I.clicks(spark, d))
+    assert held.selectExpr("max(size(history))").first()[0] <= I.CAP
+
+
+def test_unique_join(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z")], "k long, v string")
+    b = spark.createDataFrame([(1, 5), (2, 6)], "k long, w long")
+    assert sorted(map(tuple, unique_join(a, b, ["k"]).collect())) == [(1, "x", 5), (2, "y", 6), (2, "z", 6)]
+    with pytest.raises(Exception, match="a key occurs several times: 2"):
+        unique_join(b, a, ["k"]).collect()
+
+
+def test_vector_search_in_blocks(spark, monkeypatch):
+    v = I.unit_vectors(spark, "/root/testdata/sf0.001")
+    one = sorted(map(tuple, S.search_vectors(v, F.col("article_id") % 7 == 0, 3).collect()))
+    monkeypatch.setattr(S, "QUERY_BLOCK", 2)
+    assert sorted(map(tuple, S.search_vectors(v, F.col("article_id") % 7 == 0, 3).collect())) == one and len(one) > 6
+    assert S.search_vectors(v, F.col("article_id") < 0, 3).count() == 0
+
+
+def test_recency_weight(spark):
+    t = dt.datetime(2024, 1, 8)
+    r = spark.createDataFrame([(t - dt.timedelta(days=7), None, t)], "a timestamp_ntz, b timestamp_ntz, ts timestamp_ntz").select(S.recency_weight(F.col("a"), F.col("ts")).alias("a"), S.recency_weight(F.col("b"), F.col("ts")).alias("b"), S.recency_weight(F.col("ts"), F.col("a")).alias("c")).first()
+    assert r.a == pytest.approx(math.exp(-1)) and r.b == 1.0 and r.c == 1.0
+
+
+def test_single_lines_and_labels(spark):
+    ok = spark.createDataFrame([("9\tKim\t3/4/2021 7:45:10 AM\tA7\tC30 D31-1",)], "line string").select(parse.behavior_row(F.col("line")).alias("r")).first().r
+    assert ok.candidates == ["C30", "D31"] and ok.impression_id == "9"
+    for bad in ("9\tKim\t3/4/2021 7:45:10 AM\tA7", "9\tKim\t3/4/2021 7:45:10 AM\tA7\t "):
+        with pytest.raises(Exception, match="not a line of five fields"):
+            spark.createDataFrame([(bad,)], "line string").select(parse.behavior_row(F.col("line"))).collect()
+    r = spark.createDataFrame([(["a", "b", "c"], ["b", "a", "b"], [1, 1, 0])], "r array<string>, c array<string>, y array<int>").select(parse.labels_of(F.col("r"), F.col("c"), F.col("y")).alias("y")).first()
+    assert r.y == [1, 0, 0]
+
+
+def test_files_are_found_and_replaced(spark, tmp_path):
+    (tmp_path / "x_test").mkdir()
+    (tmp_path / "x_test" / "behaviors.tsv").write_text("1\tKim\t3/4/2021 7:45:10 AM\tA7\tC30\n")
+    assert readers.find_first(spark, str(tmp_path), readers.BEHAVIOR_FILES).endswith("x_test/behaviors.tsv")
+    with pytest.raises(FileNotFoundError):
+        readers.find_first(spark, str(tmp_path), readers.PARQUET_TESTS)
+    spark.createDataFrame([(1, [3.0, 4.0])], "article_id long, v array<double>").write.parquet(str(tmp_path / "a_bert" / "v.parquet"))
+    assert readers.load_embeddings(spark, str(tmp_path), "bert").first().vec == pytest.approx([0.6, 0.8])
+    with pytest.raises(ValueError):
+        readers.load_embeddings(spark, str(tmp_path), "other")
+    at = str(tmp_path / "t")
+    writers.replace_table(spark.range(3).toDF("x"), at)
+    old = spark.read.parquet(at)
+    writers.replace_table(old.where("x > 0"), at)
+    assert sorted(r.x for r in spark.read.parquet(at).collect()) == [1, 2] and not (tmp_path / "t.old").exists() and not (tmp_path / "t.new").exists()
+
+
+def test_generated_submission(spark, tmp_path):
+    n, digest = registry.generate_submission(spark, "/root/testdata/sf0.001", "decayed", str(tmp_path / "p.zip"))
+    assert n == I.candidates(spark, "/root/testdata/sf0.001", "val").select("impression_id").distinct().count() and len(digest) == 64
+
+
 def test_bm25_toy(spark):
     """Against the formula, term by term."""
-    texts = {1: "the cat sat on the mat", 2: "the dog sat on the log", 3: "cats and dogs", 4: "the cat and the dog", 5: "a bird"}
+    texts = {1: "rain over the harbour and rain over the hills", 2: "a ferry leaves the harbour", 3: "ferries and trains", 4: "the rain and the ferry", 5: "one gull"}
     arts = spark.createDataFrame(list(texts.items()), "article_id long, cleaned_text string")
     cand = spark.createDataFrame([("i", 1, a) for a in texts], "impression_id string, pos int, article_id long")
     hist = spark.createDataFrame([("i", dt.datetime(2024, 1, 1), [(4,)])], "impression_id string, ts timestamp_ntz, history array<struct<article_id:long>>").withColumn("history", F.transform("history", lambda h: F.struct(F.lit(None).cast("timestamp_ntz").alias("clicked_at"), F.lit(1).cast("long").alias("event_id"), h["article_id"].alias("article_id"))))
@@ -86,18 +166,18 @@ def test_danish_tokens(spark):
 
 def test_mind_files(spark, tmp_path):
     ent = json.dumps([{"Label": "X", "Type": "P", "WikidataId": "Q1", "Confidence": 1.0, "OccurrenceOffsets": [1], "SurfaceForms": ["x"]}] * 2)
-    (tmp_path / "a.tsv").write_text(f"N1\tnews\tus\tTitle \"one\tAbs\tu\t{ent}\t[]\nN2\tsport\t\tT2\t\tu\tnot json\n")
-    (tmp_path / "b.tsv").write_text("N1\tnews\tus\tLater\tAbs2\tu\t[]\t[]\n")
+    (tmp_path / "a.tsv").write_text(f"A7\tculture\tfilm\tTitle \"one\tAbs\tu\t{ent}\t[]\nB8\tsport\t\tT2\t\tu\tnot json\n")
+    (tmp_path / "b.tsv").write_text("A7\tculture\tfilm\tLater\tAbs2\tu\t[]\t[]\n")
     a = {r.article_id: r for r in readers.mind_articles(spark, [str(tmp_path / "a.tsv"), str(tmp_path / "b.tsv")]).collect()}
-    assert a["N1"].title == 'Title "one' and len(a["N1"].entities) == 1 and a["N2"].abstract is None and a["N2"].entities == []
+    assert a["A7"].title == 'Title "one' and len(a["A7"].entities) == 1 and a["B8"].abstract is None and a["B8"].entities == []
     c = {r.article_id: r.text for r in readers.mind_catalog(spark, [str(tmp_path / "a.tsv"), str(tmp_path / "b.tsv")]).collect()}
-    assert c["N1"] == "Later Abs2" and c["N2"] == "T2"
-    (tmp_path / "c.tsv").write_text("1\tU1\t11/11/2019 9:05:58 AM\tN1 N2\tN10-1 N-11-0 N12-x bad\n2\tU2\t11/11/2019 9:05:58 PM\t\tN1-0\n")
+    assert c["A7"] == "Later Abs2" and c["B8"] == "T2"
+    (tmp_path / "c.tsv").write_text("1\tKim\t3/4/2021 7:45:10 AM\tA7 B8\tC30-1 D-31-0 E32-x bad\n2\tAda\t3/4/2021 7:45:10 PM\t\tA7-0\n")
     b = readers.mind_behaviors(spark, str(tmp_path / "c.tsv")).orderBy("impression_id").collect()
-    assert b[0].candidates == ["N10", "N-11"] and b[0].labels == [1, 0] and b[0].ts == dt.datetime(2019, 11, 11, 9, 5, 58) and b[1].ts.hour == 21 and b[1].clicked_history == []
-    (tmp_path / "d.tsv").write_text("123\tU1\t11/11/2019 9:05:58 AM\tN1 N2\tN10 N11-1 N12\n124\tU1\tsoon\tN1\tN2\n")
+    assert b[0].candidates == ["C30", "D-31"] and b[0].labels == [1, 0] and b[0].ts == dt.datetime(2021, 3, 4, 7, 45, 10) and b[1].ts.hour == 19 and b[1].clicked_history == []
+    (tmp_path / "d.tsv").write_text("51\tKim\t3/4/2021 7:45:10 AM\tA7 B8\tC30 D31-1 E32\n52\tKim\tsoon\tA7\tB8\n")
     t = readers.mind_behaviors(spark, str(tmp_path / "d.tsv"), labelled=False).orderBy("impression_id").collect()
-    assert t[0].candidates == ["N10", "N11", "N12"] and t[1].ts is None
+    assert t[0].candidates == ["C30", "D31", "E32"] and t[1].ts is None
 
 
 def test_ebnerd_files(spark, tmp_path):
