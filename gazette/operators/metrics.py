@@ -96,30 +96,57 @@ def summary(rows: DataFrame, by_slice: DataFrame, names: list[str]) -> DataFrame
     return g.withColumn("frac_population", F.round(share, 6)).withColumn("flagged", (F.col("slice") != "all") & ((share < 0.01) | (share > 0.99))).drop("total")
 
 
-def bootstrap(rows: DataFrame, metric: str, by: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
+def poisson_weights(keys, resamples: int, seed: int):
+    """A count of a Poisson law of mean 1 for each key (unsigned 64 bits) and resample, by hash: the same wherever it is drawn."""
+    import numpy as np
+
+    step, mult = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+    z = (np.asarray(keys, np.uint64) * mult + np.uint64(seed))[:, None] ^ (np.arange(1, resamples + 1, dtype=np.uint64) * step)[None, :]
+    z = (z ^ (z >> np.uint64(30))) * mult
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    p, law = np.exp(-1.0), []
+    for k in range(1, 20):
+        law.append(p)
+        p /= k
+    return np.searchsorted(np.cumsum(law), ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53).astype(np.float64)
+
+
+def bootstrap(rows: DataFrame, metric: str, by: str, resamples: int = 1000, seed: int = 42, at_once: int = 512) -> DataFrame:
     """by, mean, ci_low, ci_high: Poisson bootstrap of the mean, percentiles 2.5 and 97.5.
 
-    Each row draws its own multiplicity in every resample from a generator seeded by the row's key, so a group is summed
+    Each row draws its own multiplicity in every resample from a hash of its key, for at_once rows together, so a group is summed
     in any number of tasks: sums of resamples combine, no group gathers anywhere.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     def sums(batches):
-        held: dict[str, np.ndarray] = {}
-        for pdf in batches:
-            for key, x, s in zip(pdf["key"], pdf["x"], pdf["s"], strict=True):
-                w = np.random.default_rng([seed, int(s) & 0xFFFFFFFF]).poisson(1.0, resamples).astype(float)
+        held: dict = {}
+        for b in batches:
+            keys, x, s = np.array(b.column("key").to_pylist(), object), b.column("x").to_numpy(zero_copy_only=False), b.column("s").to_numpy(zero_copy_only=False).view(np.uint64)
+            for key in set(keys.tolist()):
                 acc = held.setdefault(key, np.zeros((2, resamples + 1)))
-                acc[0, :-1] += w
-                acc[1, :-1] += w * x
-                acc[0, -1] += 1
-                acc[1, -1] += x
+                mine = np.flatnonzero(keys == key)
+                for i in range(0, len(mine), at_once):
+                    at = mine[i : i + at_once]
+                    w = poisson_weights(s[at], resamples, seed)
+                    acc[0, :-1] += w.sum(0)
+                    acc[1, :-1] += x[at] @ w
+                acc[0, -1] += len(mine)
+                acc[1, -1] += x[mine].sum()
         for key, acc in held.items():
-            yield pd.DataFrame({"key": key, "r": np.arange(resamples + 1), "w": acc[0], "wx": acc[1]})
+            yield pa.RecordBatch.from_arrays([pa.array([key] * (resamples + 1), pa.string()), pa.array(np.arange(resamples + 1, dtype=np.int32)), pa.array(acc[0]), pa.array(acc[1])], ["key", "r", "w", "wx"])
 
-    keyed = rows.select(F.col(by).cast("string").alias("key"), F.col(metric).cast("double").alias("x"), F.xxhash64("impression_id").alias("s"))
-    parts = keyed.mapInPandas(sums, "key string, r int, w double, wx double").groupBy("key", "r").agg((F.sum("wx") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
+    keyed = rows.where(F.col(metric).isNotNull()).select(F.col(by).cast("string").alias("key"), F.col(metric).cast("double").alias("x"), F.xxhash64("impression_id").alias("s"))
+    parts = keyed.mapInArrow(sums, "key string, r int, w double, wx double").groupBy("key", "r").agg((F.sum("wx") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
     own = F.max(F.when(F.col("r") == resamples, F.col("m")))
     again = F.when(F.col("r") < resamples, F.col("m"))
     return parts.groupBy(F.col("key").alias(by)).agg(own.alias("mean"), F.percentile(again, F.lit(0.025)).alias("ci_low"), F.percentile(again, F.lit(0.975)).alias("ci_high"))
+
+
+def summary_with_intervals(rows: DataFrame, by_slice: DataFrame, metric: str, **options) -> DataFrame:
+    """slice, n_impressions, frac_population, mean, ci_low, ci_high, status: no interval (insufficient_n) for slices of under 1 or over 99 percent."""
+    small = summary(rows, by_slice, [metric]).select("slice", "n_impressions", "frac_population", "flagged")
+    held = bootstrap(rows.join(by_slice, "impression_id"), metric, "slice", **options)
+    bound = lambda c: F.when(~F.col("flagged"), F.col(c)).alias(c)
+    return small.join(held, "slice", "left").select("slice", "n_impressions", "frac_population", "mean", bound("ci_low"), bound("ci_high"), F.when(F.col("flagged"), "insufficient_n").otherwise("ok").alias("status"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gazette.functions.stem import stems
 from gazette.functions.text import tokens
 from gazette.functions.vectors import dot, normalize, weighted_sum
 from gazette.operators.impressions import history_rows
@@ -21,15 +22,20 @@ TINY = 1e-9
 BROADCAST_TERMS, QUERY_BLOCK = 1_000_000, 2048
 
 
-def corpus(articles: DataFrame, lang: str = "en", stopwords: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def corpus(articles: DataFrame, lang: str = "en", stopwords: bool = False, stem: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(tf: article_id, term, tf, dl), (idf: term, df, idf), (stats: n, avgdl). Negative idf becomes a quarter of the mean.
 
-    Texts are cut into tokens once; df, stats and both sides of a score read the counts.
+    Texts are cut into tokens once; df, stats and both sides of a score read the counts. stem: terms become their stems, after stop words went.
     """
     doc = articles.select("article_id", tokens(F.col("cleaned_text"), lang, stopwords).alias("t"))
     # a row without a term stands for each article, so that those without tokens count
     held = doc.select("article_id", F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "t")).alias("term"))
-    held = reused(held.groupBy("article_id", "dl", "term").agg(F.count("*").alias("tf")), "term-counts")
+    held = held.groupBy("article_id", "dl", "term").agg(F.count("*").alias("tf"))
+    if stem:
+        held = reused(held, "plain-counts")
+        stemmed = held.join(small(stems(held.where("term IS NOT NULL"), lang), BROADCAST_TERMS), "term", "left")
+        held = stemmed.groupBy("article_id", "dl", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
+    held = reused(held, "term-counts")
     stats = held.where("term IS NULL").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
     tf = held.where("term IS NOT NULL")
     df = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats))
@@ -39,9 +45,9 @@ def corpus(articles: DataFrame, lang: str = "en", stopwords: bool = False) -> tu
     return tf, idf, stats
 
 
-def weights(articles: DataFrame, lang: str = "en", stopwords: bool = False, k1: float = K1, b: float = B) -> DataFrame:
+def weights(articles: DataFrame, lang: str = "en", stopwords: bool = False, k1: float = K1, b: float = B, stem: bool = False) -> DataFrame:
     """article_id, term, tf, w: what each term of an article adds to a score, by its frequency there."""
-    tf, idf, stats = corpus(articles, lang, stopwords)
+    tf, idf, stats = corpus(articles, lang, stopwords, stem)
     joined = tf.join(small(idf, BROADCAST_TERMS), "term").join(F.broadcast(stats))  # one row
     return joined.select("article_id", "term", "tf", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("w"))
 
@@ -103,7 +109,7 @@ def recency_weight(clicked_at: Column, ts: Column, days: float = 7.0) -> Column:
     return F.coalesce(F.when(clicked_at.isNotNull(), F.exp(-age / (days * 86400))), F.lit(1.0))
 
 
-def bm25(cand: DataFrame, histories: DataFrame, articles: DataFrame, lang: str = "en", stopwords: bool = False, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(cand: DataFrame, histories: DataFrame, articles: DataFrame, lang: str = "en", stopwords: bool = False, k1: float = K1, b: float = B, stem: bool = False) -> DataFrame:
     """cand with score: BM25 of each candidate for its history's texts as query, terms with multiplicity.
 
     The score is a sum over history articles, so each pair of (history, candidate) articles that occurs is
@@ -112,7 +118,7 @@ def bm25(cand: DataFrame, histories: DataFrame, articles: DataFrame, lang: str =
     h = history_rows(histories).groupBy("impression_id", F.col("article_id").alias("h")).agg(F.count("*").alias("times"))
     met = cand.select("impression_id", "article_id").distinct().join(h, "impression_id")
     pairs = met.select("h", "article_id").distinct()
-    weight = weights(articles, lang, stopwords, k1, b)
+    weight = weights(articles, lang, stopwords, k1, b, stem)
     query = weight.select(F.col("article_id").alias("h"), "term", F.col("tf").alias("qtf"))
     scored = pairs.join(query, "h").join(weight.select("article_id", "term", "w"), ["article_id", "term"]).groupBy("h", "article_id").agg(F.sum(F.col("qtf") * F.col("w")).alias("s"))
     total = met.join(scored, ["h", "article_id"]).groupBy("impression_id", "article_id").agg(F.sum(F.col("times") * F.col("s")).alias("s"))

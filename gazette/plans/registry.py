@@ -37,8 +37,8 @@ def _cosine(spark, d, decay=None):
     return S.cosine(I.candidates(spark, d, "val"), S.user_vectors(_history(spark, d), vec, decay), vec)
 
 
-def _bm25(spark, d, stopwords=False):
-    return S.bm25(I.candidates(spark, d, "val"), _history(spark, d), I.articles(spark, d), stopwords=stopwords)
+def _bm25(spark, d, stopwords=False, stem=False):
+    return S.bm25(I.candidates(spark, d, "val"), _history(spark, d), I.articles(spark, d), stopwords=stopwords, stem=stem)
 
 
 def _train_pop(spark, d):
@@ -272,6 +272,16 @@ def bm25_stopwords_ranking(spark, d):
     return S.rank(_bm25(spark, d, True)).select(*_COLS)
 
 
+@query()
+def bm25_stem_ranking(spark, d):
+    return S.rank(_bm25(spark, d, stem=True)).select(*_COLS)
+
+
+@query()
+def bm25_stopwords_stem_ranking(spark, d):
+    return S.rank(_bm25(spark, d, True, True)).select(*_COLS)
+
+
 @query("""SELECT query_id, article_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, article_id) AS rank FROM (
   SELECT q.article_id AS query_id, w.article_id, round(sum(q.tf * w.w) + 1e-9, 4) AS score FROM tf_bm q JOIN w_bm w USING (term) WHERE q.article_id % 50 = 0 GROUP BY ALL)) WHERE rank <= 20""")
 def bm25_full_corpus(spark, d):
@@ -462,6 +472,12 @@ def bootstrap_auc(spark, d):
     return M.bootstrap(rows, "auc", "slice")
 
 
+@query()
+def summary_auc_intervals(spark, d):
+    rows = M.per_impression(S.rank(_cosine(spark, d), "id"))
+    return M.summary_with_intervals(rows, M.slices(I.candidates(spark, d, "val"), _history(spark, d), _train_pop(spark, d)), "auc")
+
+
 _GRID = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
 
 

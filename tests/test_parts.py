@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gazette.functions import parse
+from gazette.functions.stem import danish, english, stems
 from gazette.functions.text import tokens
 from gazette.operators import metrics as M
 from gazette.operators import scoring as S
@@ -159,6 +160,53 @@ def test_bm25_toy(spark):
         assert got[a] == pytest.approx(max(s, 0), abs=1e-4)
 
 
+def test_bootstrap_against_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    data = [(f"i{i}", "ab"[i % 2], float(rng.random())) for i in range(700)] + [("n", "a", None)]
+    rows = spark.createDataFrame(data, "impression_id string, slice string, auc double").repartition(5)
+    keys = {r.impression_id: r.k for r in rows.select("impression_id", F.xxhash64("impression_id").alias("k")).collect()}
+    got = {r.slice: r for r in M.bootstrap(rows, "auc", "slice", resamples=400).collect()}
+    for name in "ab":
+        mine = [(keys[i], x) for i, s, x in data if s == name and x is not None]
+        x = np.array([v for _, v in mine])
+        w = M.poisson_weights(np.array([k for k, _ in mine], np.int64).view(np.uint64), 400, 42)
+        again = x @ w / w.sum(0)
+        assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
+        assert (got[name].mean, got[name].ci_low, got[name].ci_high) == pytest.approx((x.mean(), *np.percentile(again, [2.5, 97.5])))
+        plain = rng.choice(x, (2000, len(x))).mean(1)
+        assert (got[name].ci_low, got[name].ci_high) == pytest.approx(tuple(np.percentile(plain, [2.5, 97.5])), abs=0.01)
+
+
+def test_intervals_of_slices(spark):
+    rows = spark.createDataFrame([(f"i{i}", i / 300) for i in range(300)], "impression_id string, auc double")
+    where = spark.createDataFrame([(f"i{i}", s) for i in range(300) for s in ("all", "big" if i else "tiny")], "impression_id string, slice string")
+    got = {r.slice: r for r in M.summary_with_intervals(rows, where, "auc").collect()}
+    assert got["all"].status == "ok" and got["all"].ci_low < got["all"].mean < got["all"].ci_high
+    assert got["tiny"].status == got["big"].status == "insufficient_n" and got["tiny"].ci_low is None
+
+
+def test_stems(spark):
+    """Words whose stems the two algorithms' descriptions fix."""
+    en = "consign consigned consigning consignment consist consistency consistently knack knightly generously running skies dying happily relational hopping hoping national controlling news agreed flies ties by say cries conditional sensational replacement adoption"
+    to = "consign consign consign consign consist consist consist knack knight generous run sky die happili relat hop hope nation control news agre fli tie by say cri condit sensat replac adopt"
+    assert [english(w) for w in en.split()] == to.split()
+    da = "indtage indtagelse indtager indvendig undersøgelse undersøgelser underskrift katten heste hestenes billig løst bestemt dagligt"
+    to = "indtag indtag indtag indvend undersøg undersøg underskrift kat hest hest bil løst bestemt dag"
+    assert [danish(w) for w in da.split()] == to.split()
+    got = {r.term: r.stem for r in stems(spark.createDataFrame([(w,) for w in en.split() * 2], "term string")).collect()}
+    assert got == {w: english(w) for w in en.split()}
+
+
+def test_bm25_of_stems(spark):
+    """Stemming terms is the same as stemming the texts' words beforehand."""
+    arts = spark.createDataFrame([(1, "the ferries are running"), (2, "a ferry runs"), (3, "gulls"), (4, "running ferries")], "article_id long, cleaned_text string")
+    plain = spark.createDataFrame([(r.article_id, " ".join(english(w) for w in r.cleaned_text.split())) for r in arts.collect()], "article_id long, cleaned_text string")
+    rows = lambda df: sorted((r.article_id, r.term, r.tf, round(r.w, 9)) for r in df.collect())
+    assert rows(S.weights(arts, stem=True)) == rows(S.weights(plain)) and len(rows(S.weights(plain))) > 7
+
+
 def test_danish_tokens(spark):
     r = spark.createDataFrame([("Katten så måtten på en ræv",)], "t string").select(tokens(F.col("t"), "da").alias("a"), tokens(F.col("t"), "da", True).alias("b")).first()
     assert r.a == ["katten", "så", "måtten", "på", "en", "ræv"] and r.b == ["katten", "så", "måtten", "ræv"]
