@@ -9,7 +9,7 @@ from gazette.llm.common import materialize, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the ranking, learned from the labelled rows, rejects."""
+    """Drops the documents that the ranking rejects. It is learned from all labelled rows (the held-out third belongs to op4, which measures it)."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return docs.where(quality.score(docs["text"], model) >= 0.5)
 

@@ -3,8 +3,9 @@
 Fingerprints that are equal become one node. By the pigeonhole principle two fingerprints at up to ``bits``
 differing bits agree in two of ``bits + 2`` blocks, so each goes into one shard for every pair of blocks;
 those shards overlap and no link crosses all their boundaries. (A vantage-point partition of whole 64-bit
-fingerprints cannot do this step: distances of unrelated texts lie within 32 +- 4, inside the search radius
-of any boundary, so over two thirds of the rows would be copied at every level.) Inside a shard a
+fingerprints cannot do this step: distances of unrelated texts to a point lie around 32, so that at a radius of 4 some 74 % of the rows
+would be copied over every boundary, measured alike on 927 and on 9,296 fingerprints, and a tuple of ten points' distances still
+leaves 0.6 % of all pairs, a share that doesn't fall with the rows.) Inside a shard a
 vantage-point tree finds the exact links: the points are split by their distance to a vantage point, each
 side is searched by itself, and by the triangle inequality only points within the radius of the boundary
 are held against the other side. A shard gives a spanning forest of its links, never all pairs. A shard of
