@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 
 from gazette.llm.common import materialize, table
 
-# Kinds in the order of their spans, and their patterns. Possessive forms find the same matches.
+# Kinds in the order of their spans, and their patterns. Possessive forms find the same matches,
+# and the card's, which begins at the first digit of a run, those of 12 digits or more.
 KINDS = ["email", "ip", "card", "phone", "term"]
 PATTERNS = [
     r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]++)",
-    r"[0-9](?:[\x20-]?[0-9])++",
+    r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,}+",
     r"\+[0-9][\x20().0-9-]+[0-9]",
 ]
 #: Disclosing terms up to which they are sent to the tasks as one array (some 20 bytes each); beyond, terms are joined.
