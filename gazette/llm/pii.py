@@ -57,17 +57,30 @@ def _passes(kind: int, m: Column) -> Column:
     return F.lit(True)
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with value bound to a variable: a column named inside a function of an array may be evaluated again for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _running(a: Column) -> Column:
+    """Running totals of an array, by doubling the reach of each sum: m log m steps for m numbers."""
+    reaches = lambda n: F.transform(F.filter(F.sequence(F.lit(0), F.lit(30)), lambda k: F.pow(F.lit(2.0), k) < n), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+    add = lambda s, r: F.transform(s, lambda x, i: x + F.when(i >= r, F.get(s, i - r)).otherwise(0))
+    return _once(a, lambda v: F.aggregate(_once(F.size(v), reaches), v, add))
+
+
 def _found(rows: DataFrame, text: str, pattern: str | Column, may: Column, out: str) -> DataFrame:
     """Adds out: array of struct(start, m) of all matches: lengths of matches and of what lies between them add up."""
     keep = rows.columns
-    none = F.array().cast("array<string>")
-    rows = rows.select(*keep, F.when(may, F.regexp_extract_all(text, F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(0))).otherwise(none).alias("__m"), F.when(may, F.split(text, pattern, -1)).otherwise(none).alias("__s"))
-    lengths = lambda a: F.transform(a, lambda x: F.length(x))
-    rows = rows.select(*keep, "__m", lengths("__m").alias("__ml"), lengths("__s").alias("__sl"))
-    total = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda s, x: s + x)
-    starts = F.transform("__m", lambda m, i: F.struct((total("__sl", i + 1) + total("__ml", i)).alias("start"), m.alias("m")))
+    matches = F.regexp_extract_all(text, F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(0))
+
+    def placed(m: Column) -> Column:
+        between = F.slice(F.split(text, pattern, -1), 1, F.size(m))
+        ends = _running(F.zip_with(between, m, lambda s, x: F.length(s) + F.length(x)))
+        return F.zip_with(ends, m, lambda e, x: F.struct((e - F.length(x)).alias("start"), x.alias("m")))
+
     empty = F.array().cast("array<struct<start:int,m:string>>")
-    return rows.select(*keep, F.when(F.size("__m") > 0, starts).otherwise(empty).alias(out))
+    return rows.select(*keep, F.when(may, _once(matches, lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(empty))).otherwise(empty).alias(out))
 
 
 def _spans(kind: int) -> Column:
