@@ -33,6 +33,7 @@ PATTERNS = [
 #: Disclosing terms up to which they are sent to the tasks as one array (some 20 bytes each); beyond, terms are joined.
 BROADCAST_TERMS = 20_000
 _CHANCE = 3.0
+_BLOCK = 1024
 
 
 def _digits(m: Column) -> Column:
@@ -62,13 +63,19 @@ def _once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def _running(a: Column) -> Column:
-    """Running totals of an array, by doubling the reach of each sum: m log m steps for m numbers."""
+def _running(a: Column, join=lambda x, y: x + y) -> Column:
+    """Running totals (or another join's) of an array, by doubling the reach of each: m log m steps for m numbers."""
     reaches = lambda n: F.transform(F.filter(F.sequence(F.lit(0), F.lit(30)), lambda k: F.pow(F.lit(2.0), k) < n), lambda k: F.pow(F.lit(2.0), k).cast("int"))
-    add = lambda s, r: F.transform(s, lambda x, i: x + F.when(i >= r, F.get(s, i - r)).otherwise(0))
+    add = lambda s, r: F.transform(s, lambda x, i: F.when(i >= r, join(x, F.get(s, i - r))).otherwise(x))
     return _once(a, lambda v: F.aggregate(_once(F.size(v), reaches), v, add))
 
 
+def _pieces(text: Column, starts: Column, stops: Column) -> Column:
+    """The parts of a text from starts to stops, each read from its own blocks of the text."""
+    part = lambda b, i, j: F.substring(F.array_join(F.slice(b, F.floor(i / _BLOCK).cast("int") + 1, (F.floor(j / _BLOCK) - F.floor(i / _BLOCK)).cast("int") + 1), ""), i % _BLOCK + 1, j - i)
+    return _once(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0)), lambda b: F.zip_with(starts, stops, lambda i, j: part(b, i, F.greatest(j, i))))
+
+
 def _found(rows: DataFrame, text: str, pattern: str | Column, may: Column, out: str) -> DataFrame:
     """Adds out: array of struct(start, m) of all matches: lengths of matches and of what lies between them add up."""
     keep = rows.columns
@@ -110,7 +117,7 @@ def _masked(rows: DataFrame) -> DataFrame:
     spans, text = F.col("spans"), F.col("__text")
     starts = F.concat(F.array(F.lit(0)), F.transform(spans, lambda x: x["end"]))
     stops = F.concat(F.transform(spans, lambda x: x["start"]), F.array(F.length(text)))
-    between = F.array_join(F.zip_with(starts, stops, lambda i, j: F.substring(text, i + 1, F.greatest(j - i, F.lit(0)))), " ")
+    between = F.array_join(_pieces(text, starts, stops), " ")
     free = F.when(F.size(spans) > 0, between).otherwise(text)
     return rows.withColumn("__w", F.filter(F.split(F.lower(free), r"[^\p{L}]+"), lambda w: F.length(w) >= 2))
 
@@ -155,10 +162,14 @@ def _with_terms(rows: DataFrame, terms: DataFrame, many: int) -> DataFrame:
 
 def _contexts(rows: DataFrame) -> DataFrame:
     """A row for each term of __t with ctx: its neighbours at its first place, in all other columns but __w and __t."""
-    at = F.transform("__t", lambda t: F.struct(t.alias("term"), F.array_position("__w", t).cast("int").alias("i")))
+    entry = lambda w, i: F.struct(w.alias("term"), i.alias("i"))
+    # sorted, a mark at -1 stands right before the first place of its term
+    marked = F.sort_array(F.concat(F.transform("__t", lambda t: entry(t, F.lit(-1))), F.transform("__w", entry)))
+    first = _once(marked, lambda s: F.filter(s, lambda x, i: (i > 0) & (F.get(s, i - 1)["i"] == -1)))
+    word = lambda w, j: F.coalesce(F.get(w, j), F.lit(""))
+    at = lambda w: F.transform(first, lambda x: F.struct(x["term"].alias("term"), F.xxhash64(word(w, x["i"] - 1), word(w, x["i"] + 1)).alias("ctx")))
     keep = [c for c in rows.columns if c not in ("__w", "__t")]
-    word = lambda j: F.coalesce(F.get(F.col("__w"), F.col("x.i") + j), F.lit(""))
-    return rows.select(*keep, "__w", F.explode(at).alias("x")).select(*keep, "x.term", F.xxhash64(word(-2), word(0)).alias("ctx"))
+    return rows.select(*keep, F.explode(_once(F.col("__w"), at)).alias("x")).select(*keep, "x.term", "x.ctx")
 
 
 def disclosing_terms(docs: DataFrame, disclosure: float = 0.8, support: int = 3) -> DataFrame:
@@ -186,6 +197,16 @@ def disclosing_terms(docs: DataFrame, disclosure: float = 0.8, support: int = 3)
     return by_kind.unionByName(by_value).distinct()
 
 
+def _clear_terms(spans: Column) -> Column:
+    """spans by start and kind, without the terms that meet a base span: one that began before, or the next to begin."""
+    base = lambda x, at, other: F.when(x["k"] < 4, x[at]).otherwise(F.lit(other))
+    before = lambda v: _running(F.transform(v, lambda x: base(x, "end", 0)), F.greatest)
+    after = lambda v: F.reverse(_running(F.reverse(F.transform(v, lambda x: base(x, "start", 2**31 - 1))), F.least))
+    free = lambda v: F.zip_with(before(v), after(v), lambda e, s: F.struct(e.alias("e"), s.alias("s")))
+    held = lambda v: F.filter(F.zip_with(v, free(v), lambda x, f: F.when((x["k"] < 4) | ((f["e"] <= x["start"]) & (f["s"] >= x["end"])), x)), F.isnotnull)
+    return _once(F.array_sort(spans), held)
+
+
 def find(docs: DataFrame, disclosure: float = 0.8, support: int = 3) -> DataFrame:
     """doc_id, __text, base (array of spans), spans (base and terms) of each row."""
     reveal = materialize(disclosing_terms(docs, disclosure, support), "disclosing")
@@ -203,16 +224,25 @@ def find(docs: DataFrame, disclosure: float = 0.8, support: int = 3) -> DataFram
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("__t", "|"), F.lit(r")(?!\p{L})"))
     rows = _found(rows.withColumn("__p", F.when(F.size("__t") > 0, pattern).otherwise(F.lit("(?!)"))), "__text", F.col("__p"), F.size("__t") > 0, "__f")
     span = lambda x: F.struct(x["start"].alias("start"), F.lit(4).alias("k"), (x["start"] + F.length(x["m"])).alias("end"), F.lower(x["m"]).alias("value"))
-    free = lambda x: ~F.exists("spans", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-    terms = F.filter(F.transform("__f", span), free)
-    return rows.select("doc_id", "__text", F.col("spans").alias("base"), F.when(F.size("__f") > 0, F.array_sort(F.concat("spans", terms))).otherwise(F.col("spans")).alias("spans"))
+    clear = _clear_terms(F.concat("spans", F.transform("__f", span)))
+    return rows.select("doc_id", "__text", F.col("spans").alias("base"), F.when(F.size("__f") > 0, clear).otherwise(F.col("spans")).alias("spans"))
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """text with each span replaced by its kind in brackets, from the last to the first; of spans that overlap the first stays."""
-    free = F.filter(spans, lambda x: ~F.exists(spans, lambda y: ((y["start"] < x["start"]) | ((y["start"] == x["start"]) & (y["k"] < x["k"]))) & (y["end"] > x["start"])))
-    name = lambda x: F.element_at(F.array(*map(F.lit, KINDS)), x["k"] + 1)
-    return F.aggregate(F.reverse(free), text, lambda t, x: F.concat(F.substring(t, F.lit(1), x["start"]), F.lit("["), name(x), F.lit("]"), F.substring(t, x["end"] + 1, F.length(t))))
+    """text with each span replaced by its kind in brackets; a span that begins before the end of another before it is passed over."""
+    ends = lambda v: _running(F.transform(v, lambda x: x["end"]), F.greatest)
+    before = lambda v: F.concat(F.array(F.lit(0)), F.slice(ends(v), 1, F.size(v) - 1))
+    free = lambda v: F.filter(F.zip_with(v, before(v), lambda x, e: F.when(e <= x["start"], x)), F.isnotnull)
+    name = lambda x: F.concat(F.lit("["), F.element_at(F.array(*map(F.lit, KINDS)), x["k"] + 1), F.lit("]"))
+
+    def built(v: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.transform(v, lambda x: x["end"]))
+        stops = F.concat(F.transform(v, lambda x: x["start"]), F.array(F.length(text)))
+        names = F.concat(F.transform(v, name), F.array(F.lit("")))
+        return F.array_join(F.zip_with(_pieces(text, starts, stops), names, lambda x, y: F.concat(x, y)), "")
+
+    some = _once(F.array_sort(spans), lambda v: _once(free(v), built))
+    return F.when(F.size(spans) > 0, some).otherwise(text)
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:

@@ -645,6 +645,45 @@ def test_windows_of_equal_hash_are_told_apart(spark, monkeypatch):
     assert [x.n_repeat_words for x in r] == [12, 0, 0]
 
 
+def test_pii_many_matches_in_one_text(spark):
+    """Thousands of spans in a text with wide characters, held against Python's own matches, masks and replacements."""
+    parts = [f"wörd{i} 😀 user{i}@host{i % 7}.example.com and 10.0.{i % 300}.7 then" for i in range(3000)]
+    t = "\n".join(parts)
+    got = pii.base_spans(spark.createDataFrame([row(1, t), row(2, "none"), row(3, None)], SCHEMA), "doc_id")
+    r = got.withColumn("clean", pii.redact(F.col("__text"), F.col("spans"))).where("doc_id = 1").first()
+    want = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    want += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+){3}", t) if all(int(p) <= 255 for p in m.group().split("."))]
+    want.sort()
+    assert [(s.start, s.k, s.end) for s in r.spans] == want and all(t[s.start : s.end] == s.value for s in r.spans)
+    out, at = [], 0
+    for start, k, end in want:
+        out += [t[at:start], f"[{pii.KINDS[k]}]"]
+        at = end
+    assert r.clean == "".join(out) + t[at:]
+    free, at = [], 0
+    for start, _, end in want:
+        free.append(t[at:start])
+        at = end
+    words = [w for w in re.split(r"[^a-zö]+", " ".join([*free, t[at:]]).lower()) if len(w) >= 2]
+    assert pii._masked(got).where("doc_id = 1").first()["__w"] == words
+
+
+def test_pii_contexts_and_clear_terms(spark):
+    """A term's context is that of its first place; terms stay where no base span meets them."""
+    w = "b a b c a d b".split()
+    df = spark.createDataFrame([(w, ["a", "d"], 1), (w, ["b"], 2)], "__w array<string>, __t array<string>, n int")
+    got = {(r.n, r.term): r.ctx for r in pii._contexts(df).collect()}
+    hashed = spark.createDataFrame([("b", "b", 1, "a"), ("a", "b", 1, "d"), ("", "a", 2, "b")], "p string, q string, n int, term string")
+    assert got == {(r.n, r.term): r.h for r in hashed.select("n", "term", F.xxhash64("p", "q").alias("h")).collect()}
+    rng = random.Random(5)
+    for _ in range(5):
+        spans = sorted({(i := rng.randrange(200), rng.choice([0, 1, 4, 4]), i + rng.randrange(1, 12), "v") for _ in range(40)})
+        base = [s for s in spans if s[1] < 4]
+        want = [s for s in spans if s[1] < 4 or not any(y[0] < s[2] and s[0] < y[2] for y in base)]
+        one = spark.createDataFrame([(spans,)], "s array<struct<start:int,k:int,end:int,value:string>>")
+        assert [tuple(x) for x in one.select(pii._clear_terms(F.col("s")).alias("s")).first().s] == want
+
+
 def test_pii_spans(spark):
     t = "x a.b+c@d-e.co.uk. ip 255.1.2.3 999.1.1.1 card 4539 1488 0343 6467 and 4539148803436468, call +1 (212) 555-0199 or +12 34é a@b"
     base = {r.doc_id: r for r in pii.find(spark.createDataFrame([row(1, t), row(2, "é " + t), row(3, None)], SCHEMA)).collect()}
