@@ -6,33 +6,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-def imp():
-    """A window over each impression."""
-    return Window.partitionBy("impression_id")
 METRICS = ["auc", "mrr", "ndcg5", "ndcg10"]
 
 
-def per_impression(ranked: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
-    """impression_id, n, clicks, recall<k>, mrr, ndcg<k>, auc.
+def ranked_within(scored: DataFrame, *by: str) -> DataFrame:
+    """scored with rank, 1 for the best score among rows with equal columns by; ties go by position."""
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "pos")))
+
+
+def per_impression(ranked: DataFrame, ks: tuple[int, ...] = (5, 10), by: tuple[str, ...] | list[str] = ("impression_id",)) -> DataFrame:
+    """The columns by (an impression, or an impression under a setting), n, clicks, recall<k>, mrr, ndcg<k>, auc.
 
     One aggregation by impression; AUC counts ties half, 0.5 where all labels are equal.
     """
-    ties = Window.partitionBy("impression_id", "score")
-    place = F.rank().over(imp().orderBy("score")) + (F.count("*").over(ties) - 1) / 2
+    ties = Window.partitionBy(*by, "score")
+    place = F.rank().over(Window.partitionBy(*by).orderBy("score")) + (F.count("*").over(ties) - 1) / 2
     hit = F.col("label") == 1
     gain = 1 / F.log2(F.col("rank") + 1.0)
     pos = F.sum("label")
     aggs = [F.count("*").alias("n"), pos.alias("clicks"), F.sum(F.when(hit, F.col("place"))).alias("places"), F.min(F.when(hit, F.col("rank"))).alias("first")]
     for k in ks:
         aggs += [F.sum(F.when(hit & (F.col("rank") <= k), 1).otherwise(0)).alias(f"hits{k}"), F.sum(F.when(hit & (F.col("rank") <= k), gain)).alias(f"dcg{k}")]
-    g = ranked.withColumn("place", place).groupBy("impression_id").agg(*aggs)
+    g = ranked.withColumn("place", place).groupBy(*by).agg(*aggs)
     p, n = F.col("clicks"), F.col("n")
     auc = F.when((p == 0) | (p == n), 0.5).otherwise((F.col("places") - p * (p + 1) / 2) / F.when((p == 0) | (p == n), 1).otherwise(p * (n - p)))
     ideal = lambda k: F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(p, F.lit(k)), F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
     out = {f"recall{k}": F.when(p == 0, 0.0).otherwise(F.col(f"hits{k}") / F.greatest(p, F.lit(1))) for k in ks}
     out |= {"mrr": F.coalesce(1 / F.col("first"), F.lit(0.0)), "auc": auc}
     out |= {f"ndcg{k}": F.when(p == 0, 0.0).otherwise(F.coalesce(f"dcg{k}", F.lit(0.0)) / ideal(k)) for k in ks}
-    return g.select("impression_id", "n", "clicks", *[v.alias(k) for k, v in out.items()])
+    return g.select(*by, "n", "clicks", *[v.alias(k) for k, v in out.items()])
 
 
 def mean_of(rows: DataFrame, names: list[str], *by: str) -> DataFrame:

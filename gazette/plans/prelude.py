@@ -72,6 +72,25 @@ def bm25_parts(tok: str, dl: str, out: str) -> dict[str, str]:
 PARTS |= bm25_parts("tok", "dl0", "bm") | bm25_parts("toks", "dls", "bs")
 
 
+def history_part(cap: int, before: str = "i.ts", split: str = "val") -> str:
+    """The last cap clicks of each impression of a split before a time."""
+    return f"""SELECT * FROM (SELECT i.impression_id, i.ts, c.article_id, c.clicked_at,
+        row_number() OVER (PARTITION BY i.impression_id ORDER BY c.clicked_at DESC, c.event_id DESC) AS back
+        FROM imps i JOIN clicks c ON c.user_id = i.user_id AND c.clicked_at < {before} WHERE split = '{split}') WHERE back <= {cap}"""
+
+
+def unit_part(raw: str, *by: str) -> str:
+    """Unit vectors of rows (by, d, v)."""
+    keys = ", ".join(by)
+    return f"SELECT {keys}, d, v / CASE WHEN norm = 0 THEN 1 ELSE norm END AS u FROM (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY {keys})) AS norm FROM ({raw}))"
+
+
+def cosine_part(users: str) -> str:
+    """Candidates of the validation split with the product of their vector and their impression's user vector."""
+    return f"""SELECT v.*, round(coalesce(s, 0), 6) AS score FROM val v LEFT JOIN (
+        SELECT impression_id, v.article_id, sum(u * x) AS s FROM val v JOIN {users} w USING (impression_id) JOIN emb e ON e.article_id = v.article_id AND e.d = w.d GROUP BY ALL) USING (impression_id, article_id)"""
+
+
 def mm(x: str) -> str:
     lo, hi = f"min({x}) OVER (PARTITION BY impression_id)", f"max({x}) OVER (PARTITION BY impression_id)"
     return f"(CASE WHEN {hi} - {lo} < 1e-12 THEN 0.0 ELSE ({x} - {lo}) / ({hi} - {lo}) END)"

@@ -53,15 +53,22 @@ def _blended(spark, d, beta=0.8):
     return S.rank(S.blend(_both(spark, d), "score", "bm25", beta))
 
 
-def _hybrid(spark, d, alpha=0.8):
+def _with_popularity(spark, d):
     pop = _train_pop(spark, d).select("article_id", "clicks")
-    j = _cosine(spark, d).join(pop, "article_id", "left").withColumn("lp", F.log1p(F.coalesce("clicks", F.lit(0)))).drop("clicks")
-    return S.rank(S.blend(j, "score", "lp", alpha))
+    return _cosine(spark, d).join(pop, "article_id", "left").withColumn("lp", F.log1p(F.coalesce("clicks", F.lit(0)))).drop("clicks")
 
 
-def _catblend(spark, d, beta=0.85):
+def _hybrid(spark, d, alpha=0.8):
+    return S.rank(S.blend(_with_popularity(spark, d), "score", "lp", alpha))
+
+
+def _with_category(spark, d):
     sig = S.category_signal(I.candidates(spark, d, "val"), _history(spark, d), I.articles(spark, d)).select("impression_id", "article_id", "signal")
-    return S.rank(S.blend(_cosine(spark, d).join(sig, ["impression_id", "article_id"]), "score", "signal", beta))
+    return _cosine(spark, d).join(sig, ["impression_id", "article_id"])
+
+
+def _catblend(spark, d, beta=0.85):
+    return S.rank(S.blend(_with_category(spark, d), "score", "signal", beta))
 
 
 _COLS = ["impression_id", "article_id", "pos", "label", "score", "rank"]

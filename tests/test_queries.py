@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from gazette.plans import registry
+from gazette.plans import catalog as registry
 from verify_sql import TABLES, canonical
 
 SF = "/root/testdata/sf0.001"
