@@ -199,10 +199,20 @@ def rank(scored: DataFrame, order: str = "pos", out: str = "rank") -> DataFrame:
     return scored.withColumn(out, F.row_number().over(imp().orderBy(F.col("score").desc(), tie)))
 
 
-def top_k(scored: DataFrame, k: int, order: str = "pos") -> DataFrame:
+def top_k(scored: DataFrame, k: int = 200, order: str = "pos") -> DataFrame:
+    """The best k of each impression; ranks beyond k end before the shuffle."""
     return rank(scored, order).where(F.col("rank") <= k)
 
 
+def cut_and_append(scored: DataFrame, k: int = 200, order: str = "pos") -> DataFrame:
+    """The best k of each impression, and after them the others in the order of candidates with score 0: every candidate keeps a rank."""
+    kept = top_k(scored, k, order)
+    rest = scored.join(kept.select("impression_id", "pos"), ["impression_id", "pos"], "left_anti")
+    after = F.row_number().over(imp().orderBy("pos"))
+    # only impressions with more than k candidates have others, so k is the number of those before
+    return kept.unionByName(rest.withColumn("score", F.lit(0.0)).withColumn("rank", F.lit(k) + after))
+
+
 def combiner_features(scored: DataFrame, one: str, other: str) -> DataFrame:
     """Five features of the learned blend: both scores' min-max and rank percentile, and the difference."""
     a, b = minmax(F.col(one)), minmax(F.col(other))

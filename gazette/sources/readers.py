@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from gazette.functions import parse
 from gazette.functions.vectors import normalize
+from gazette.operators.snapshots import first_occurrences
 
 # The columns of the public log format, and the places where files of a data set may lie, best first.
 NEWS = ["news_id", "category", "subcategory", "title", "abstract", "url", "title_entities", "abstract_entities"]
@@ -91,6 +92,33 @@ def ebnerd_history(spark: SparkSession, path) -> DataFrame:
     return spark.read.parquet(path).select(F.col("user_id").cast("string").alias("user_id"), F.transform(F.filter(z, lambda x: x["a"].isNotNull()), lambda x: F.struct(x["a"].cast("string").alias("article_id"), x["t"].cast("timestamp_ntz").alias("clicked_at"))).alias("clicked_history"))
 
 
+def ebnerd_user_summary(spark: SparkSession, path) -> DataFrame:
+    """user_id, dataset, clicked_history, history_len, last_active_at for each row of a history file, as it stands."""
+    h = ebnerd_history(spark, path)
+    return h.select("user_id", F.lit("ebnerd").alias("dataset"), "clicked_history", F.size("clicked_history").cast("long").alias("history_len"), F.array_max(F.transform("clicked_history", lambda x: x["clicked_at"])).alias("last_active_at"))
+
+
+def ebnerd_users(spark: SparkSession, splits: list[tuple[str, str]]) -> DataFrame:
+    """user_id, dataset, clicked_history, history_len, last_active_at over several (behaviors, history) files.
+
+    A user's articles stand in the order in which impressions first show them: by file, row and place in the history. Rows are told
+    apart by the file's own row numbers, so no file is read in one piece and nothing is sorted but a user's articles.
+    """
+    union = None
+    for i, (behaviors, history) in enumerate(splits):
+        b = spark.read.parquet(behaviors).select(F.col("user_id").cast("string").alias("user_id"), F.col("impression_time").cast("timestamp_ntz").alias("ts"), F.lit(i).alias("file"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"))
+        # a user's impressions of a file show the same history: the first of them counts
+        first = b.groupBy("user_id", "file").agg(F.min(F.struct("path", "row")).alias("at"), F.max("ts").alias("ts"))
+        one = first.join(ebnerd_history(spark, history), "user_id", "left")
+        union = one if union is None else union.unionByName(one)
+    shown = union.select("user_id", "ts", "file", "at", F.posexplode_outer("clicked_history").alias("place", "e"))
+    last = shown.groupBy("user_id").agg(F.max("ts").alias("last_active_at"))
+    lists = first_occurrences(shown.where("e IS NOT NULL").withColumn("article_id", F.col("e.article_id")), "user_id", "article_id", F.struct("file", "at", "place"), F.col("e"))
+    none = F.array().cast(lists.schema["entries"].dataType)
+    j = last.join(lists, "user_id", "left").withColumn("entries", F.coalesce("entries", none))
+    return j.select("user_id", F.lit("ebnerd").alias("dataset"), F.col("entries").alias("clicked_history"), F.size("entries").cast("long").alias("history_len"), "last_active_at")
+
+
 def embeddings(spark: SparkSession, path, wanted: DataFrame | None = None) -> DataFrame:
     """article_id, vec (unit): from one list column or many float columns; wanted keeps its article_ids alone."""
     e = spark.read.parquet(path)

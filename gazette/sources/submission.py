@@ -10,20 +10,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _line(ranked: DataFrame, order: str, value: str) -> DataFrame:
-    g = ranked.groupBy("impression_id").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("string").alias("v")))).alias("xs"))
-    inner = F.array_join(F.transform("xs", lambda x: x["v"]), ",")
+def _line(ranked: DataFrame, order: str, value: str, checked: bool) -> DataFrame:
+    """checked: places and ranks must both be 1 to n within an impression; anything else is an error that names it."""
+    g = ranked.groupBy("impression_id").agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(value).cast("long").alias("v")))).alias("xs"))
+    whole = F.sequence(F.lit(1), F.size("xs")).cast("array<bigint>")
+    sound = (F.transform("xs", lambda x: x["o"]) == whole) & (F.array_sort(F.transform("xs", lambda x: x["v"])) == whole)
+    if checked:
+        g = g.where(F.when(sound, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("ranks are no permutation: impression "), F.coalesce(F.col("impression_id").cast("string"), F.lit("without an id"))))))
+    inner = F.array_join(F.transform("xs", lambda x: x["v"].cast("string")), ",")
     return g.select("impression_id", F.concat(F.col("impression_id").cast("string"), F.lit(" ["), inner, F.lit("]")).alias("line"))
 
 
-def ranks_by_candidate(ranked: DataFrame) -> DataFrame:
-    """impression_id, line: the rank of each candidate, in candidate order (the default)."""
-    return _line(ranked, "pos", "rank")
+def ranks_by_candidate(ranked: DataFrame, checked: bool = True) -> DataFrame:
+    """impression_id, line: the rank of each candidate, in candidate order (the default). Ranks that are no permutation are an error unless checked is off."""
+    return _line(ranked, "pos", "rank", checked)
 
 
-def positions_by_rank(ranked: DataFrame) -> DataFrame:
-    """impression_id, line: the candidate's place, in rank order (the inverse permutation)."""
-    return _line(ranked, "rank", "pos")
+def positions_by_rank(ranked: DataFrame, checked: bool = True) -> DataFrame:
+    """impression_id, line: the candidate's place, in rank order (the inverse permutation). As above."""
+    return _line(ranked, "rank", "pos", checked)
 
 
 def valid_line(line: Column) -> Column:
