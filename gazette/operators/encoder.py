@@ -46,12 +46,12 @@ class Encoder:
 
 def packed(cand: DataFrame, histories: DataFrame, vectors: DataFrame) -> DataFrame:
     """A row for each impression: hist (vectors of its history one after another, latest first; those without one left out), and in the order of
-    positions cands (vectors one after another, of those that have one), has (whether they have), labels. Lists are as long as the history's cap and the pool."""
+    positions cands (vectors one after another, of those that have one), has (whether they have), labels, pos. Lists are as long as the history's cap and the pool."""
     flat = lambda xs: F.flatten(F.transform(xs, lambda x: x["vec"]))
     vec = vectors.where("vec IS NOT NULL").select("article_id", "vec")
     h = history_rows(histories).join(vec, "article_id").groupBy("impression_id").agg(F.array_sort(F.collect_list(F.struct("back", "vec"))).alias("hs")).select("impression_id", flat(F.col("hs")).alias("hist"))
     c = cand.join(vec, "article_id", "left").groupBy("impression_id").agg(F.array_sort(F.collect_list(F.struct("pos", "label", "vec"))).alias("cs"))
-    c = c.select("impression_id", flat(F.filter("cs", lambda x: x["vec"].isNotNull())).alias("cands"), F.transform("cs", lambda x: x["vec"].isNotNull()).alias("has"), F.transform("cs", lambda x: x["label"].cast("int")).alias("labels"))
+    c = c.select("impression_id", flat(F.filter("cs", lambda x: x["vec"].isNotNull())).alias("cands"), F.transform("cs", lambda x: x["vec"].isNotNull()).alias("has"), F.transform("cs", lambda x: x["label"].cast("int")).alias("labels"), F.transform("cs", lambda x: x["pos"]).alias("pos"))
     none = F.array().cast(h.schema["hist"].dataType)
     return c.join(h, "impression_id", "left").withColumn("hist", F.coalesce("hist", none))
 

@@ -52,24 +52,25 @@ def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def as_of(impressions: DataFrame, clicks: DataFrame, cap: int = CAP) -> DataFrame:
     """impression_id, user_id, ts, history: the last cap clicks strictly before each impression, oldest first (empty if none).
 
-    Clicks are numbered within their user's days, and days by what lies before them, so no task needs all clicks of a user. An impression knows the
-    number of the last click before it and meets the last cap by number; no list is longer than cap. A click without a time lies before all others.
+    Clicks are numbered within their user's days, and days by what lies before them, so no task needs all clicks of a user. Numbers cut the clicks into
+    stretches of cap; an impression knows the number of the last click before it, so it meets two stretches, and no list is longer than twice the cap.
+    A click without a time lies before all others. Impressions and clicks are dealt out once by user and day; the days' sums and their join stay there.
     """
-    none = F.lit(None).cast("string")
-    moves = clicks.select("user_id", F.col("clicked_at").alias("t"), "event_id", "article_id", F.lit(1).alias("click"), none.alias("impression_id"))
-    asks = impressions.select("impression_id", "user_id", "ts").distinct()
-    both = moves.unionByName(asks.select("user_id", F.col("ts").alias("t"), F.lit(0).alias("click"), F.col("impression_id").cast("string").alias("impression_id")), allowMissingColumns=True)
-    both = both.withColumn("day", F.coalesce(F.to_date("t"), F.lit("0001-01-01").cast("date")))
+    moves = clicks.select("user_id", F.col("clicked_at").alias("t"), "event_id", "article_id", F.lit(1).alias("click"))
+    asks = impressions.select("impression_id", "user_id", "ts").distinct().select("impression_id", "user_id", F.col("ts").alias("t"), F.lit(0).alias("click"))
+    both = moves.unionByName(asks, allowMissingColumns=True).withColumn("day", F.coalesce(F.to_date("t"), F.lit("0001-01-01").cast("date")))
     in_day = Window.partitionBy("user_id", "day").orderBy(F.col("t").asc_nulls_first(), "click", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = both.groupBy("user_id", "day").agg(F.sum("click").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-    numbered = both.withColumn("n", F.sum("click").over(in_day)).join(days, ["user_id", "day"]).withColumn("n", F.col("n") + F.col("before"))
-    held = numbered.where("click = 1").select("user_id", "n", F.struct(F.col("t").alias("clicked_at"), "event_id", "article_id").alias("h"))
-    need = numbered.where("click = 0 AND n > 0").select("impression_id", "user_id", F.explode(F.sequence(F.greatest(F.col("n") - cap + 1, F.lit(1)), F.col("n"))).alias("n"))
-    met = need.join(held, ["user_id", "n"]).groupBy("impression_id").agg(F.array_sort(F.collect_list("h")).alias("history"))
-    empty = F.array().cast(met.schema["history"].dataType)
-    met = met.select(F.col("impression_id").alias("__id"), "history")
-    return asks.join(met, F.col("impression_id").cast("string") == F.col("__id"), "left").select("impression_id", "user_id", "ts", F.coalesce("history", empty).alias("history"))
+    numbered = both.withColumn("n", F.sum("click").over(in_day))
+    days = numbered.groupBy("user_id", "day").agg(F.max("n").alias("n")).select("user_id", "day", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    numbered = numbered.join(days, ["user_id", "day"]).withColumn("n", F.col("n") + F.col("before"))
+    stretch = F.floor((F.col("n") - 1) / cap)
+    entry = F.struct(F.col("t").alias("clicked_at"), "event_id", "article_id")
+    held = numbered.where("click = 1").groupBy("user_id", stretch.alias("s")).agg(F.array_sort(F.collect_list(F.struct("n", entry.alias("h")))).alias("hs"))
+    need = numbered.where("click = 0").select("impression_id", "user_id", F.col("t").alias("ts"), F.col("n").alias("upto"), F.explode(F.when(F.col("n") % cap == 0, F.array(stretch)).otherwise(F.array(stretch - 1, stretch))).alias("s"))
+    met = need.join(held, ["user_id", "s"], "left").groupBy("impression_id", "user_id", "ts", "upto").agg(F.flatten(F.array_sort(F.collect_list("hs"))).alias("hs"))
+    last = F.filter("hs", lambda x: (x["n"] <= F.col("upto")) & (x["n"] > F.col("upto") - cap))
+    return met.select("impression_id", "user_id", "ts", F.transform(last, lambda x: x["h"]).alias("history"))
 
 
 def history_rows(histories: DataFrame) -> DataFrame:

@@ -18,8 +18,8 @@ def imp():
 K1, B = 1.5, 0.75
 #: Keeps scores that lie between two rounded values from falling to either side by the order of a sum.
 TINY = 1e-9
-#: Terms (some 60 bytes each) up to which their weights are broadcast, and query vectors that are sent to the tasks at once.
-BROADCAST_TERMS, QUERY_BLOCK = 1_000_000, 2048
+#: Terms (some 60 bytes each) up to which their weights are broadcast; queries, vectors and articles to a block of a search.
+BROADCAST_TERMS, QUERY_BLOCK, VECTOR_BLOCK, ARTICLE_BLOCK = 1_000_000, 2048, 8192, 4096
 
 
 def corpus(articles: DataFrame, lang: str = "en", stopwords: bool = False, stem: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -52,55 +52,113 @@ def weights(articles: DataFrame, lang: str = "en", stopwords: bool = False, k1:
     return joined.select("article_id", "term", "tf", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("w"))
 
 
-def search_bm25(articles: DataFrame, queries: Column, k: int = 20, lang: str = "en", stopwords: bool = False) -> DataFrame:
-    """query_id, article_id, score, rank: the best k of all articles for the text of each article that queries picks."""
-    w = weights(articles, lang, stopwords)
-    q = w.where(queries).select(F.col("article_id").alias("query_id"), "term", F.col("tf").alias("qtf"))
-    s = w.join(q, "term").groupBy("query_id", "article_id").agg(F.round(F.sum(F.col("qtf") * F.col("w")) + TINY, 4).alias("score"))
+def _grid(held: DataFrame, asked: DataFrame, rows: int, columns: int) -> tuple[DataFrame, DataFrame]:
+    """asked and held dealt into a grid: what stands in row r of the first meets what stands in column c of the second in cell (r, c)."""
+    hash_, span = F.xxhash64("article_id"), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    return asked.withColumn("row", F.pmod(hash_, F.lit(rows))).withColumn("column", span(columns)), held.withColumn("column", F.pmod(hash_, F.lit(columns))).withColumn("row", span(rows))
+
+
+def _blocks(spark, asked: int, held: int, query_block: int, block: int) -> tuple[int, int]:
+    """Rows and columns of a grid of bounded blocks, with a cell for every core where there is enough to do."""
+    rows = max(1, -(-asked // query_block))
+    return rows, max(1, -(-held // block), min(-(-spark.sparkContext.defaultParallelism // rows), held // 64))
+
+
+_FOUND = "query_id long, article_id long, score double"
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "article_id"))
-    return s.withColumn("rank", best).where(F.col("rank") <= k)
+    return found.withColumn("rank", best).where(F.col("rank") <= k)
+
+
+def search_bm25(articles: DataFrame, queries: Column, k: int = 20, lang: str = "en", stopwords: bool = False) -> DataFrame:
+    """query_id, article_id, score, rank: the best k of all articles for the text of each article that queries picks.
+
+    Queries and articles are dealt into blocks, and each pair of blocks is a task's work. A cell has all terms of its articles, so it
+    sums whole scores and sends on at most k rows for each of its queries: no pair of a query and an article is shuffled, and a term that most
+    articles hold is dealt out with them. Nothing passes through the driver but two counts.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    w = reused(weights(articles, lang, stopwords).select(F.col("article_id").cast("long").alias("article_id"), "term", F.col("tf").cast("double").alias("tf"), "w", F.coalesce(queries, F.lit(False)).alias("asks")), "postings")
+    n = w.agg(F.count_distinct("article_id").alias("all"), F.count_distinct(F.when(F.col("asks"), F.col("article_id"))).alias("asks")).first()
+    rows, columns = _blocks(w.sparkSession, n["asks"], n["all"], QUERY_BLOCK, ARTICLE_BLOCK)
+    asked, held = _grid(w.select("article_id", "term", "w"), w.where("asks").select("article_id", "term", "tf"), rows, columns)
+    schema = pa.schema([("query_id", pa.int64()), ("article_id", pa.int64()), ("score", pa.float64())])
+
+    def cell(one: pa.Table, other: pa.Table) -> pa.Table:
+        out = []
+        if one.num_rows and other.num_rows:
+            terms = pc.unique(one.column("term"))
+            code = lambda t: pc.fill_null(pc.index_in(t.column("term"), value_set=terms), -1).to_numpy()
+            ids, owner = np.unique(one.column("article_id").to_numpy(), return_inverse=True)
+            of, at = code(one), code(other)
+            mine = np.flatnonzero(at >= 0)
+            own, place = np.unique(other.column("article_id").to_numpy(), return_inverse=True)  # in order: of equal scores the least id
+            at, place, weight = at[mine], place[mine], other.column("w").to_numpy()[mine]
+            tf = one.column("tf").to_numpy()
+            for low in range(0, len(ids), 128):
+                some = np.flatnonzero((owner >= low) & (owner < low + 128))
+                some = some[np.argsort(of[some], kind="stable")]
+                many = np.bincount(of[some], minlength=len(terms))
+                start = np.cumsum(many) - many
+                m = min(128, len(ids) - low)
+                s, hit = np.zeros(m * len(own)), np.zeros(m * len(own), bool)
+                upto = np.r_[0, np.cumsum(many[at])]
+                i = 0
+                while i < len(at):  # some million products at once
+                    j = max(i + 1, int(np.searchsorted(upto, upto[i] + 2_000_000, "right")) - 1)
+                    reps = many[at[i:j]]
+                    each = np.repeat(np.arange(i, j), reps)
+                    q = some[start[at[each]] + np.arange(len(each)) - np.repeat(upto[i:j] - upto[i], reps)]
+                    key = (owner[q] - low) * len(own) + place[each]
+                    s += np.bincount(key, tf[q] * weight[each], len(s))
+                    hit[key] = True
+                    i = j
+                s = np.where(hit, np.round(s + TINY, 4), -np.inf).reshape(m, -1)
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                best = np.take_along_axis(s, top, 1)
+                r, c = np.nonzero(best > -np.inf)
+                out.append(pa.table([ids[low + r], own[top[r, c]], best[r, c]], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
+
+    return _best(asked.groupBy("row", "column").cogroup(held.groupBy("row", "column")).applyInArrow(cell, _FOUND), k)
 
 
 def search_vectors(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     """query_id, article_id, score, rank: the best k of all vectors by inner product, for each vector that queries picks.
 
-    Queries go to the tasks in blocks of bounded size; a task sends on at most k rows for each query and batch.
+    The same grid: its plan does not grow with the number of queries, and a cell sends on at most k rows for each of its queries.
     """
     import numpy as np
     import pyarrow as pa
 
-    def block(ids: np.ndarray, q: np.ndarray) -> DataFrame:
-        def run(batches):
-            for b in batches:
-                own = b.column("article_id").to_numpy(zero_copy_only=False)
-                held = b.column("vec")
-                x = held.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
-                s = np.round(q @ x.T + TINY, 6)
-                top = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
-                n = top.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(own[top].ravel()), pa.array(np.take_along_axis(s, top, 1).ravel())], ["query_id", "article_id", "score"])
-
-        return vectors.where("vec IS NOT NULL").select(F.col("article_id").cast("long").alias("article_id"), "vec").mapInArrow(run, "query_id long, article_id long, score double")
-
-    found, ids, rows = None, [], []
-
-    def add():
-        nonlocal found, ids, rows
-        if ids:
-            more = block(np.array(ids, np.int64), np.array(rows, np.float64))
-            found = more if found is None else found.unionByName(more)
-            ids, rows = [], []
-
-    for r in vectors.where(queries & F.col("vec").isNotNull()).select("article_id", "vec").orderBy("article_id").toLocalIterator():
-        ids.append(r.article_id)
-        rows.append(r.vec)
-        if len(ids) == QUERY_BLOCK:
-            add()
-    add()
-    if found is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, article_id long, score double, rank int")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "article_id"))
-    return found.withColumn("rank", best).where(F.col("rank") <= k)
+    v = reused(vectors.where("vec IS NOT NULL").select(F.col("article_id").cast("long").alias("article_id"), "vec", F.coalesce(queries, F.lit(False)).alias("asks")), "vectors")
+    n = v.agg(F.count("*").alias("all"), F.count_if("asks").alias("asks")).first()
+    rows, columns = _blocks(v.sparkSession, n["asks"], n["all"], QUERY_BLOCK, VECTOR_BLOCK)
+    asked, held = _grid(v.select("article_id", "vec"), v.where("asks").select("article_id", "vec"), rows, columns)
+    schema = pa.schema([("query_id", pa.int64()), ("article_id", pa.int64()), ("score", pa.float64())])
+
+    def matrix(t: pa.Table):
+        ids = t.column("article_id").to_numpy()
+        return ids, t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+
+    def cell(one: pa.Table, other: pa.Table) -> pa.Table:
+        out = []
+        if one.num_rows and other.num_rows:
+            (ids, q), (own, x) = matrix(one), matrix(other)
+            by = np.argsort(own, kind="stable")  # of equal scores the least id
+            own, x = own[by], x[by]
+            for i in range(0, len(ids), 256):
+                s = np.round(q[i : i + 256] @ x.T + TINY, 6)
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                out.append(pa.table([np.repeat(ids[i : i + 256], top.shape[1]), own[top].ravel(), np.take_along_axis(s, top, 1).ravel()], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
+
+    return _best(asked.groupBy("row", "column").cogroup(held.groupBy("row", "column")).applyInArrow(cell, _FOUND), k)
 
 
 def recency_weight(clicked_at: Column, ts: Column, days: float = 7.0) -> Column:
@@ -146,15 +204,34 @@ def cosine(cand: DataFrame, users: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def attention(cand: DataFrame, histories: DataFrame, vectors: DataFrame, temperature: float = 0.2) -> DataFrame:
-    """cand with score: each candidate attends over the history (softmax of dot products), then its dot product with the unit mean."""
-    h = history_rows(histories).join(vectors, "article_id").groupBy("impression_id").agg(F.array_sort(F.collect_list(F.struct("back", "vec"))).alias("hs"))
-    j = cand.join(h, "impression_id", "left").join(vectors.withColumnRenamed("vec", "c"), "article_id", "left")
-    j = j.withColumn("d", F.transform("hs", lambda e: dot(e["vec"], F.col("c"))))
-    j = j.withColumn("top", F.array_max("d"))
-    j = j.withColumn("items", F.zip_with("hs", "d", lambda e, d: F.struct(F.exp((d - F.col("top")) / temperature).alias("w"), e["vec"].alias("vec"))))
-    j = j.withColumn("v", weighted_sum(F.col("items"), "vec", "w"))
-    score = dot(normalize(F.col("v")), F.col("c"))
-    return j.withColumn("score", F.round(F.coalesce(score, F.lit(0.0)), 6)).drop("hs", "c", "d", "top", "items", "v")
+    """cand with score: each candidate attends over the history (softmax of dot products), then its dot product with the unit mean.
+
+    An impression's history and candidates stand in one row: a matrix product each way scores all of its candidates.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from gazette.operators.encoder import lists, packed
+
+    def run(batches):
+        for b in batches:
+            (h, ho), (c, co), (has, lo), (where, _) = (lists(b, x) for x in ("hist", "cands", "has", "pos"))
+            has, sizes = has.astype(bool), np.diff(lo)
+            found, out = np.concatenate([[0], np.cumsum(has)]), np.zeros(len(has))
+            for i in range(b.num_rows):
+                m, n = found[lo[i + 1]] - found[lo[i]], ho[i + 1] - ho[i]
+                if m and n:
+                    x = c[co[i] : co[i + 1]].reshape(m, -1).astype(np.float64)
+                    y = h[ho[i] : ho[i + 1]].reshape(-1, x.shape[1]).astype(np.float64)
+                    d = x @ y.T
+                    u = np.exp((d - d.max(1, keepdims=True)) / temperature) @ y
+                    norm = np.linalg.norm(u, axis=1)
+                    out[np.flatnonzero(has[lo[i] : lo[i + 1]]) + lo[i]] = np.einsum("ij,ij->i", u, x) / np.where(norm == 0, 1, norm)
+            yield pa.RecordBatch.from_arrays([b.column("impression_id").take(pa.array(np.repeat(np.arange(b.num_rows), sizes))), pa.array(where), pa.array(np.round(out, 6))], ["impression_id", "pos", "score"])
+
+    kind = {f.name: f.dataType.simpleString() for f in cand.schema}
+    scores = packed(cand, histories, vectors).select("impression_id", "hist", "cands", "has", "pos").mapInArrow(run, f"impression_id {kind['impression_id']}, pos {kind['pos']}, score double")
+    return cand.join(scores, ["impression_id", "pos"])
 
 
 def minmax(x: Column) -> Column:

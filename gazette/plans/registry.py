@@ -33,13 +33,21 @@ def _history(spark, d, split="val"):
     return I.as_of(I.candidates(spark, d, split), I.clicks(spark, d))
 
 
-def _cosine(spark, d, decay=None):
+def _base(spark, d):
+    """The validation split's candidates and histories, made once for all that a query does with them."""
+    cand = reused(I.candidates(spark, d, "val"), "candidates")
+    return cand, reused(I.as_of(cand, I.clicks(spark, d)), "histories")
+
+
+def _cosine(spark, d, decay=None, base=None):
+    cand, h = base or (I.candidates(spark, d, "val"), _history(spark, d))
     vec = I.unit_vectors(spark, d)
-    return S.cosine(I.candidates(spark, d, "val"), S.user_vectors(_history(spark, d), vec, decay), vec)
+    return S.cosine(cand, S.user_vectors(h, vec, decay), vec)
 
 
-def _bm25(spark, d, stopwords=False, stem=False):
-    return S.bm25(I.candidates(spark, d, "val"), _history(spark, d), I.articles(spark, d), stopwords=stopwords, stem=stem)
+def _bm25(spark, d, stopwords=False, stem=False, base=None):
+    cand, h = base or _base(spark, d)
+    return S.bm25(cand, h, I.articles(spark, d), stopwords=stopwords, stem=stem)
 
 
 def _train_pop(spark, d):
@@ -47,7 +55,8 @@ def _train_pop(spark, d):
 
 
 def _both(spark, d):
-    return unique_join(_cosine(spark, d), _bm25(spark, d).select("impression_id", "article_id", F.col("score").alias("bm25")), ["impression_id", "article_id"])
+    base = _base(spark, d)
+    return unique_join(_cosine(spark, d, base=base), _bm25(spark, d, base=base).select("impression_id", "article_id", F.col("score").alias("bm25")), ["impression_id", "article_id"])
 
 
 def _blended(spark, d, beta=0.8):
@@ -64,8 +73,9 @@ def _hybrid(spark, d, alpha=0.8):
 
 
 def _with_category(spark, d):
-    sig = S.category_signal(I.candidates(spark, d, "val"), _history(spark, d), I.articles(spark, d)).select("impression_id", "article_id", "signal")
-    return _cosine(spark, d).join(sig, ["impression_id", "article_id"])
+    base = _base(spark, d)
+    sig = S.category_signal(*base, I.articles(spark, d)).select("impression_id", "article_id", "signal")
+    return _cosine(spark, d, base=base).join(sig, ["impression_id", "article_id"])
 
 
 def _catblend(spark, d, beta=0.85):
@@ -358,9 +368,10 @@ def category_blend(spark, d):
 
 @query("SELECT impression_id, article_id, round(p_cat, 6) AS p_cat_share, round(signal, 6) AS signal FROM catsig")
 def category_affinity(spark, d):
-    raw = S.category_signal(I.candidates(spark, d, "val"), _history(spark, d), I.articles(spark, d))
+    base = _base(spark, d)
+    raw = S.category_signal(*base, I.articles(spark, d))
     kinds = I.articles(spark, d).select("article_id", "category")
-    h = I.history_rows(_history(spark, d)).join(kinds, "article_id", "left")
+    h = I.history_rows(base[1]).join(kinds, "article_id", "left")
     n = Window.partitionBy("impression_id")
     share = h.groupBy("impression_id", "category").agg(F.count("*").alias("m")).withColumn("p", F.col("m") / F.sum("m").over(n)).select("impression_id", "category", "p")
     j = raw.join(kinds, "article_id", "left").join(share, ["impression_id", "category"], "left")
@@ -445,15 +456,17 @@ def population_slices(spark, d):
 
 @query(f"SELECT slice, count(*) AS n_impressions, {_AVG}, round(count(*) / max(total), 6) AS frac_population, slice <> 'all' AND (count(*) / max(total) < 0.01 OR count(*) / max(total) > 0.99) AS flagged FROM mrcos JOIN sl USING (impression_id), (SELECT count(*) AS total FROM mrcos) t GROUP BY 1")
 def summary_by_slice(spark, d):
-    rows = M.per_impression(S.rank(_cosine(spark, d), "id"))
-    return M.summary(rows, M.slices(I.candidates(spark, d, "val"), _history(spark, d), _train_pop(spark, d)), _MEANS)
+    base = _base(spark, d)
+    rows = reused(M.per_impression(S.rank(_cosine(spark, d, base=base), "id")), "metrics")
+    return M.summary(rows, M.slices(*base, _train_pop(spark, d)), _MEANS)
 
 
 @query("SELECT slice, round(avg(b.recall10), 6) AS bm25, round(avg(c.recall10), 6) AS cosine, round(avg(b.recall10), 6) > round(avg(c.recall10), 6) AS bm25_wins FROM sl JOIN mrbm b USING (impression_id) JOIN mrcos c USING (impression_id) GROUP BY 1")
 def compare_retrievers(spark, d):
-    b = M.per_impression(S.rank(_bm25(spark, d))).select("impression_id", F.col("recall10").alias("b"))
-    c = M.per_impression(S.rank(_cosine(spark, d), "id")).select("impression_id", F.col("recall10").alias("c"))
-    j = M.slices(I.candidates(spark, d, "val"), _history(spark, d), _train_pop(spark, d)).join(b, "impression_id").join(c, "impression_id")
+    base = _base(spark, d)
+    b = M.per_impression(S.rank(_bm25(spark, d, base=base))).select("impression_id", F.col("recall10").alias("b"))
+    c = M.per_impression(S.rank(_cosine(spark, d, base=base), "id")).select("impression_id", F.col("recall10").alias("c"))
+    j = M.slices(*base, _train_pop(spark, d)).join(b, "impression_id").join(c, "impression_id")
     g = j.groupBy("slice").agg(F.round(F.avg("b"), 6).alias("bm25"), F.round(F.avg("c"), 6).alias("cosine"))
     return g.withColumn("bm25_wins", F.col("bm25") > F.col("cosine"))
 
@@ -483,14 +496,16 @@ def candidate_pool_sizes(spark, d):
 
 @query()
 def bootstrap_auc(spark, d):
-    rows = M.per_impression(S.rank(_cosine(spark, d), "id")).join(M.slices(I.candidates(spark, d, "val"), _history(spark, d), _train_pop(spark, d)), "impression_id")
+    base = _base(spark, d)
+    rows = M.per_impression(S.rank(_cosine(spark, d, base=base), "id")).join(M.slices(*base, _train_pop(spark, d)), "impression_id")
     return M.bootstrap(rows, "auc", "slice")
 
 
 @query()
 def summary_auc_intervals(spark, d):
-    rows = M.per_impression(S.rank(_cosine(spark, d), "id"))
-    return M.summary_with_intervals(rows, M.slices(I.candidates(spark, d, "val"), _history(spark, d), _train_pop(spark, d)), "auc")
+    base = _base(spark, d)
+    rows = reused(M.per_impression(S.rank(_cosine(spark, d, base=base), "id")), "metrics")
+    return M.summary_with_intervals(rows, M.slices(*base, _train_pop(spark, d)), "auc")
 
 
 _GRID = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]

@@ -265,3 +265,45 @@ def test_streamed_popularity(spark, tmp_path):
     start(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out")).agg(F.sum("exposures").alias("n")).first().n
     assert 0 < out <= spark.read.parquet(src).count()
+
+
+def test_text_search_in_blocks(spark, monkeypatch):
+    """Any grid gives the rows of a plain sum over pairs."""
+    a = I.articles(spark, "/root/testdata/sf0.001").where("article_id < 90")
+    w = S.weights(a).collect()
+    mine, want = {}, []
+    for r in w:
+        mine.setdefault(r.term, []).append(r)
+    for q in range(0, 90, 7):
+        total = {}
+        for r in (r for r in w if r.article_id == q):
+            for x in mine[r.term]:
+                total[x.article_id] = total.get(x.article_id, 0) + r.tf * x.w
+        want += [(q, i, round(s + S.TINY, 4), n) for n, (i, s) in enumerate(sorted(total.items(), key=lambda x: (-round(x[1] + S.TINY, 4), x[0]))[:5], 1)]
+    for blocks in ((2048, 4096), (2, 7)):
+        monkeypatch.setattr(S, "QUERY_BLOCK", blocks[0])
+        monkeypatch.setattr(S, "ARTICLE_BLOCK", blocks[1])
+        got = sorted((tuple(r) for r in S.search_bm25(a, F.col("article_id") % 7 == 0, 5).collect()), key=lambda r: (r[0], r[3]))
+        assert [(r[0], r[1], r[3]) for r in got] == [(r[0], r[1], r[3]) for r in want] and all(abs(x[2] - y[2]) < 2e-4 for x, y in zip(got, want))
+    assert S.search_bm25(a, F.col("article_id") < 0, 3).count() == 0
+
+
+def test_attention_against_its_definition(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    vec = {i: rng.standard_normal(4) for i in range(12)}
+    cand = [("a", p, i, 0) for p, i in enumerate([3, 99, 5, 7], 1)] + [("b", 1, 4, 1), ("c", 1, 98, 0)]
+    hist = {"a": [1, 2, 99, 2], "b": [], "c": [1]}
+    df = spark.createDataFrame(cand, "impression_id string, pos int, article_id long, label int")
+    h = spark.createDataFrame([(k, None, [(x, None) for x in v]) for k, v in hist.items()], "impression_id string, ts timestamp_ntz, history array<struct<article_id:long,clicked_at:timestamp_ntz>>")
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in vec.items()], "article_id long, vec array<double>")
+    got = {(r.impression_id, r.pos): r.score for r in S.attention(df, h, v).collect()}
+    for k, p, i, _ in cand:
+        own, want = [vec[x] for x in hist[k] if x in vec], 0.0
+        if own and i in vec:
+            e = np.exp([x @ vec[i] / 0.2 for x in own])
+            u = sum(a * x for a, x in zip(e, own))
+            want = u @ vec[i] / np.linalg.norm(u)
+        assert got[k, p] == pytest.approx(want, abs=1e-5)
+    assert len(got) == len(cand)
