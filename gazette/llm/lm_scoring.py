@@ -2,16 +2,19 @@
 
 Contexts are the one, two or more words before a symbol (up to ``depth``, the tree's bound), over all words of the training rows, by hash.
 A context of at least ``least`` occurrences stays in the tree if its smoothed next-symbol distribution diverges from that of its longest
-retained suffix: 2 n KL beyond what its degrees of freedom give by chance, and KL of at least ``min_kl`` nats. All these thresholds are
-absolute, so the tree grows with the corpus. Next symbols seen twice or more are smoothed by absolute discounting towards the suffix, down to
+retained suffix: 2 n KL beyond what its degrees of freedom give by chance, and KL of at least ``min_kl`` nats. These thresholds are
+absolute, so the tree grows with the corpus; ``p_known`` alone is a share. Next symbols seen twice or more are smoothed by absolute discounting towards the suffix, down to
 the add-one root. Symbols are the words with at least ``p_known`` of the tokens, each by itself (1/p_known at most, sent to all tasks),
 and one for all rarer words, of which each has its add-one share. A text's score is its base score (the root's) plus what the
 longest suffix state of each position gains over the root.
 
 The tree is never in one place. Every position goes, packed, to the shard of the last word before it; all longer contexts
 that end in this word are there too, so a shard builds its subtree, keeps or drops its states, and scores its positions. What
-it gains goes back by text. A word with more positions than half a shard is split by a hash of the word before it, and, where a sample shows
-that pair to be as common, by the text; each part then has its own distribution, from at least half a shard's positions on average.
+it gains goes back by text. A context of over half a shard's positions is common (words by exact count, longer ones by a sample). The
+next-symbol counts of common contexts are summed over all tasks first, and their states decided once; their positions are dealt out by the
+next earlier word, or by the text where every context is common, and begin with the state that is sent to each part. So all scores are those of
+the one tree, whatever a shard holds, however the input is partitioned, and whichever contexts the sample finds. Gains are whole
+numbers of 2^-28, which add up to the same in any order.
 
 Word counts cover all training rows. Rare words' counts, for the base score, meet the words of each chunk of texts in shards of their own.
 
@@ -36,8 +39,10 @@ END = b""
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 #: Positions that a task packs at once.
 _AT_ONCE = 1_000_000
-#: Share of the texts looked at for common pairs of words; only for words that are common by exact count.
+#: Share of the texts looked at for common contexts of several words; only behind words that are common by exact count.
 _LOOK = 0.01
+#: Steps of a position's gain.
+_GAIN = 2.0**28
 #: Steps of a rare word's logarithm.
 _FINE = 2.0**32
 
@@ -141,14 +146,15 @@ def _mix(a: np.ndarray, b) -> np.ndarray:
 
 
 class Shards:
-    """Where a position goes: by the last word before it; common words (hash: parts) also by the word before, common pairs by the text."""
+    """Where a position goes: by the last word before it; with common contexts (by length: code and parts) by the next earlier word or by the text.
 
-    def __init__(self, n: int, words: dict[int, int], pairs: dict[int, int]):
+    A context's code is made of its words' symbols, the last word first; every word of a common context is a known one.
+    """
+
+    def __init__(self, n: int, common: list[dict[int, int]]):
         self.n, self.homes = n, 4 * n + 60  # shards of positions, and of rare words behind them
-        self.words = np.array(sorted(words), np.uint64)
-        self.parts = np.array([words[w] for w in sorted(words)], np.uint64)
-        self.pairs = np.array(sorted(pairs), np.uint64)
-        self.pair_parts = np.array([pairs[w] for w in sorted(pairs)], np.uint64)
+        self.common = [(np.array(sorted(x), np.uint64), np.array([x[c] for c in sorted(x)], np.int64)) for x in common]
+        self.offsets = np.r_[0, np.cumsum([len(x) for x in common], dtype=np.int64)].tolist()
 
     @staticmethod
     def find(known: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,31 +163,58 @@ class Shards:
         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
         return known[at] == h, at
 
-    def keys(self, h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """A key for each position, from the hashes of the last two words; equal keys are one context of one word, and meet in one shard."""
-        hot, at = self.find(self.words, h1)
-        out = h1.copy()
-        if hot.any():
-            pair = _mix(h1[hot], h2[hot])
-            part = h2[hot] % self.parts[at[hot]]
-            both, where = self.find(self.pairs, pair)
-            part[both] = _mix(doc[hot][both].astype(np.uint64), 7) % self.pair_parts[where[both]] + np.uint64(1 << 32)
-            out[hot] = _mix(out[hot], part + np.uint64(1))
-        return out >> np.uint64(16)
+    def met(self, known: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each length the positions whose context is common, and its number among those of the length. known: symbols of the words before, the last first."""
+        at, code = np.arange(len(known[0])), np.zeros(len(known[0]), np.uint64)
+        for (codes, _), words in zip(self.common, known):
+            code = _mix(code, words[at].astype(np.uint64))
+            hit, which = self.find(codes, code)
+            at, code = at[hit], code[hit]
+            yield at, which[hit]
+
+    def part_keys(self, code, part) -> np.ndarray:
+        return _mix(np.asarray(code, np.uint64), np.asarray(part, np.uint64) + np.uint64(1)) >> np.uint64(16)
+
+    def keys(self, hashes: list[np.ndarray], known: list[np.ndarray], doc: np.ndarray) -> np.ndarray:
+        """A key for each position, from its words before and, if need be, its text; equal keys are one context, at least of the last word, and meet in one shard."""
+        out = hashes[0] >> np.uint64(16)
+        for d, (at, which) in enumerate(self.met(known)):
+            codes, parts = self.common[d]
+            by = hashes[d + 1][at] if d + 1 < len(hashes) else _mix(doc[at].astype(np.uint64), 7)
+            out[at] = self.part_keys(codes[which], by % parts[which].astype(np.uint64))
+        return out
 
     def of(self, keys: np.ndarray) -> np.ndarray:
         return ((keys >> np.uint64(16)) * np.uint64(self.n) >> np.uint64(32)).astype(np.int64)
 
 
-def subtree(contexts: list[np.ndarray], sym: np.ndarray, train: np.ndarray, p0: np.ndarray, least: int = 2, discount: float = 0.75, min_kl: float = 0.005) -> tuple[np.ndarray, list[int]]:
+def _smoothed(n: np.ndarray, below: np.ndarray, ctx_of: np.ndarray, k: int, least: int, discount: float, min_kl: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Probabilities of pairs of a context and a symbol, which of the k contexts are kept as states, and their totals. n: counts; below: the suffix's probabilities, which a context that isn't kept leaves."""
+    total = np.bincount(ctx_of, n, k)
+    twice = n >= 2
+    direct = np.where(twice, n - discount, 0.0) / np.maximum(total[ctx_of], 1)
+    lam = 1 - np.bincount(ctx_of, direct, k)
+    new = direct + lam[ctx_of] * below
+    gain = np.bincount(ctx_of, np.where(twice, new * np.log(new / below), 0.0), k)
+    left = np.maximum(1 - np.bincount(ctx_of, np.where(twice, below, 0.0), k), 0)
+    kl = gain + lam * np.log(lam) * left
+    free = np.bincount(ctx_of, twice, k)
+    keep = (free > 0) & (total >= least) & (2 * total * kl > free + 3 * np.sqrt(2 * free)) & (kl >= min_kl)
+    return np.where(keep[ctx_of], new, below), keep, total
+
+
+def subtree(contexts: list[np.ndarray], sym: np.ndarray, train: np.ndarray, p0: np.ndarray, least: int = 2, discount: float = 0.75, min_kl: float = 0.005, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, list[int]]:
     """log10 of each position's probability over its root's, and how many states each level keeps.
 
     contexts: for each length a code of the context of every position; a longer one tells the shorter one. p0: the root by symbol.
+    known: for each position its probability by the states of its contexts up to a length, and that length (0: none), which are not built here.
     """
-    p = p0[sym].copy()
-    at = np.arange(len(sym))
+    p, given = (p0[sym].copy(), np.zeros(len(sym), np.int8)) if known is None else known
+    at = np.flatnonzero(given == 0)
     kept = []
-    for codes in contexts:
+    for level, codes in enumerate(contexts):
+        if level:
+            at = np.r_[at, np.flatnonzero(given == level)]
         if not len(at):
             kept.append(0)
             continue
@@ -190,23 +223,10 @@ def subtree(contexts: list[np.ndarray], sym: np.ndarray, train: np.ndarray, p0:
         ctx_at = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
         pair_at = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (s[1:] != s[:-1])])
         ctx_of = np.searchsorted(ctx_at, pair_at, "right") - 1  # of each pair
-        total = np.add.reduceat(t, ctx_at, dtype=np.int64)
         n = np.add.reduceat(t, pair_at, dtype=np.int64)
-        below = p[order[pair_at]]
-        twice = n >= 2
-        direct = np.where(twice, n - discount, 0.0) / np.maximum(total[ctx_of], 1)
-        k = len(ctx_at)
-        lam = 1 - np.bincount(ctx_of, direct, k)
-        new = direct + lam[ctx_of] * below
-        gain = np.bincount(ctx_of, np.where(twice, new * np.log(new / below), 0.0), k)
-        left = np.maximum(1 - np.bincount(ctx_of, np.where(twice, below, 0.0), k), 0)
-        kl = gain + lam * np.log(lam) * left
-        free = np.bincount(ctx_of, twice, k)
-        keep = (free > 0) & (total >= least) & (2 * total * kl > free + 3 * np.sqrt(2 * free)) & (kl >= min_kl)
+        new, keep, total = _smoothed(n, p[order[pair_at]], ctx_of, len(ctx_at), least, discount, min_kl)
         kept.append(int(keep.sum()))
-        spans = np.diff(np.r_[pair_at, len(order)])
-        mine = np.repeat(keep[ctx_of], spans)
-        p[order[mine]] = np.repeat(new, spans)[mine]
+        p[order] = np.repeat(new, np.diff(np.r_[pair_at, len(order)]))
         # a longer context occurs no oftener, so only these may go on
         at = order[np.repeat(total >= least, np.diff(np.r_[ctx_at, len(order)]))]
     return np.log10(p / p0[sym]), kept
@@ -222,29 +242,147 @@ def known_words(counts: DataFrame, p_known: float) -> tuple[Symbols, int, int, f
     return symbols, total, kinds, least, np.concatenate([[max(1 - head.sum(), 1 / (total + kinds + 1))], head])
 
 
-def _common(docs: DataFrame, symbols: Symbols, rows: int) -> tuple[dict[int, int], dict[int, int]]:
-    """Words with over half a shard's positions and, of these, the pairs with the word before that a sample shows to be as common: hash and parts."""
-    from xxhash import xxh64_intdigest
+def _befores(texts: list[bytes], symbols: Symbols, depth: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Of all positions of some texts: the symbol, the symbols of the words before (the last first), and the text's place."""
+    end = symbols.of([END])
+    whole, sizes = [], []
+    for text in texts:
+        known = symbols.of(_tokens(text))
+        whole += [*[end] * depth, known]
+        sizes.append(len(known))
+    flat = np.concatenate(whole) if whole else np.zeros(0, np.int64)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(text)) + depth * (text + 1)
+    return flat[at], [flat[at - j] for j in range(1, depth + 1)], text
+
 
+def _common(docs: DataFrame, symbols: Symbols, rows: int, depth: int) -> list[dict[int, int]]:
+    """For each length the contexts of over half a shard's positions, code and parts: words by their counts, longer ones as a sample shows them. A context's shorter ones are common as well."""
     most = rows / 2
-    words = {xxh64_intdigest(w): int(np.ceil(n / most)) for w, n in zip(symbols.blob.split(b"\n"), symbols.counts[1:].tolist(), strict=False) if n > most}
-    if not words:
-        return {}, {}
-    hot = np.array(sorted(words), np.uint64)
+    many = np.flatnonzero(symbols.counts > most)
+    if not len(many):
+        return []
+    first = dict(zip(_mix(np.zeros(len(many), np.uint64), many.astype(np.uint64)).tolist(), np.ceil(symbols.counts[many] / most).astype(int).tolist()))
+    hot = np.zeros(len(symbols.counts), bool)
+    hot[many] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
-            for text in b.column("text").to_pylist():
-                tokens = _tokens(text)
-                h = symbols.hash(tokens, symbols.of(tokens))
-                hit, _ = Shards.find(hot, h[1:])
-                found.append(_mix(h[1:][hit], h[:-1][hit]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64))], ["h"])
+            _, known, _ = _befores(b.column("text").to_pylist(), symbols, depth)
+            at, code, level, codes = np.flatnonzero(hot[known[0]]), None, [], []
+            code = _mix(np.zeros(len(at), np.uint64), known[0][at].astype(np.uint64))
+            for d in range(1, depth):
+                go = hot[known[d][at]]  # only common words make common contexts
+                at, code = at[go], _mix(code[go], known[d][at[go]].astype(np.uint64))
+                found, n = np.unique(code, return_counts=True)
+                level.append((np.full(len(found), d + 1), n))
+                codes.append(found)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in level]) if level else np.empty(0, np.int64), pa.int64()) for i in (0, 1)] + [pa.array(np.concatenate(codes).view(np.int64) if codes else np.empty(0, np.int64))], ["level", "m", "code"])
 
     some = _input(docs).where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_000)) < int(1e6 * _LOOK)).select("text")
-    pairs = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > most * _LOOK).collect()  # as many as there are shards at most
-    return words, {int(np.int64(r.h).view(np.uint64)): int(np.ceil(r.n / _LOOK / most)) for r in pairs}
+    found = some.mapInArrow(run, "level long, m long, code long").groupBy("level", "code").agg(F.sum("m").alias("m")).where(F.col("m") > most * _LOOK).collect()  # as many as there are shards, for each length, at most
+    return [first, *({int(np.int64(r.code).view(np.uint64)): int(np.ceil(r.m / _LOOK / most)) for r in found if r.level == d} for d in range(2, depth + 1))]
+
+
+def common_counts(docs: DataFrame, symbols: Symbols, shards: Shards, depth: int) -> DataFrame:
+    """c (the number of a common context, shorter ones first), up (that of its suffix), sym, n: how often each symbol follows in training rows (0: in others alone), summed over all tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = len(symbols.counts)
+        texts, held, size = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            sym, known, text = _befores(texts, symbols, depth)
+            train = ~np.array(held)[text]
+            parts, up = [], np.full(len(sym), -1)
+            for d, (at, which) in enumerate(shards.met(known)):
+                c = which + shards.offsets[d]
+                key, back = np.unique(c * wide + sym[at], return_inverse=True)
+                lead = np.empty(len(key), np.int64)
+                lead[back] = up[at]
+                parts.append((key // wide, lead, key % wide, np.bincount(back, train[at], len(key)).astype(np.int64)))
+                up[at] = c
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[i] for p in parts]), pa.int64()) for i in range(4)], ["c", "up", "sym", "n"])
+
+        for b in batches:
+            for text, h in zip(b.column("text").to_pylist(), b.column("held_out").to_pylist()):
+                texts.append(text)
+                held.append(h)
+                size += len(text)
+                if size > 8 * _AT_ONCE:
+                    yield out()
+                    texts, held, size = [], [], 0
+        if texts:
+            yield out()
+
+    return _input(docs).select("text", "held_out").mapInArrow(run, "c long, up long, sym long, n long").groupBy("c", "up", "sym").agg(F.sum("n").alias("n"))
+
+
+def common_states(counts: DataFrame, shards: Shards, p0: np.ndarray, least: int, discount: float, min_kl: float) -> DataFrame:
+    """c, sym, p: the probabilities that the states of common contexts give, length by length, as a context rests on its suffix's. A context is a group, of as many rows as there are symbols at most."""
+
+    def state(t: pa.Table) -> pa.Table:
+        t = t.sort_by("sym")
+        sym, n, below = (t.column(x).to_numpy() for x in ("sym", "n", "below"))
+        below = p0[sym] if np.isnan(below).all() else below
+        # one context: what stands for it is a position for each symbol, with its count
+        return pa.table({"c": t.column("c"), "sym": t.column("sym"), "p": _smoothed(n, below, np.zeros(len(n), np.int64), 1, least, discount, min_kl)[0]})
+
+    none, found = F.lit(float("nan")), None
+    for d in range(len(shards.common)):
+        rows = counts.where((F.col("c") >= shards.offsets[d]) & (F.col("c") < shards.offsets[d + 1]))
+        if d:
+            rows = rows.join(found[-1].select(F.col("c").alias("up"), "sym", F.col("p").alias("below")), ["up", "sym"])
+        else:
+            rows = rows.withColumn("below", none)
+        level = materialize(rows.select("c", "sym", "n", "below").groupBy("c").applyInArrow(state, "c long, sym long, p double"), "states")
+        found = [*(found or []), level]
+    out = found[0]
+    for level in found[1:]:
+        out = out.unionByName(level)
+    return out
+
+
+def _sent(states: DataFrame, shards: Shards) -> DataFrame:
+    """shard, word (none), n (none), states: each common context's state to every shard that has a part of its positions."""
+
+    def send(t: pa.Table) -> pa.Table:
+        c = t.column("c")[0].as_py()
+        d = int(np.searchsorted(shards.offsets, c, "right")) - 1
+        codes, parts = shards.common[d]
+        keys = shards.part_keys(codes[c - shards.offsets[d]], np.arange(parts[c - shards.offsets[d]]))
+        to = shards.of(keys)
+        body = _planes(t.column("sym").to_numpy().astype(np.uint32), t.column("p").to_numpy())
+        where = np.unique(to)
+        blobs = []
+        for s in where.tolist():
+            mine = _planes(np.sort(keys[to == s]))
+            blobs.append(np.array([d + 1, len(mine)], np.int64).tobytes() + mine + body)
+        return pa.table({"shard": where, "word": pa.array([b""] * len(where), pa.binary()), "n": pa.array([0] * len(where), pa.int64()), "states": pa.array(blobs, pa.binary())})
+
+    return states.groupBy("c").applyInArrow(send, "shard long, word binary, n long, states binary")
+
+
+def _given(sent: list[bytes], h: np.ndarray, sym: np.ndarray, p0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What subtree() takes as known: the probabilities by the states that were sent to a shard, for the positions of their keys."""
+    p, given = p0[sym].copy(), np.zeros(len(sym), np.int8)
+    rows = []
+    for blob in sent:
+        level, size = np.frombuffer(blob[:16], np.int64).tolist()
+        rows.append((level, _columns(blob[16 : 16 + size], np.uint64)[0], *_columns(blob[16 + size :], np.uint32, np.float64)))
+    if rows:
+        keys = np.concatenate([r[1] for r in rows])
+        owner = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
+        order = np.argsort(keys)
+        hit, at = Shards.find(keys[order], h)
+        mine = np.flatnonzero(hit)
+        who = owner[order][at[hit]]
+        for i, (level, _, syms, values) in enumerate(rows):
+            some = mine[who == i]
+            by = np.argsort(syms)
+            p[some] = values[by][np.searchsorted(syms[by], sym[some])]
+            given[some] = level
+    return p, given
 
 
 _ROW = "shard long, chunk long, blob binary"
@@ -259,14 +397,15 @@ def _packed(docs: DataFrame, symbols: Symbols, shards: Shards, depth: int, log_m
         chunk = TaskContext.get().partitionId() << 24
         logc = np.log10(symbols.counts + 1.0)
         rows: list[tuple] = []
-        cols: list[list[np.ndarray]] = [[] for _ in range(depth + 3)]  # hashes of the two words before, codes of the earlier ones, symbol, text
+        cols: list[list[np.ndarray]] = [[] for _ in range(3 * depth + 1)]  # of the words before: hashes, symbols, and codes of all but the last; symbol, text
         rare: list[bytes] = []
         rare_at: list[tuple[np.ndarray, np.ndarray]] = []  # hashes and text of the rare words
         size = 0
 
         def out() -> pa.RecordBatch:
-            h1, h2, *before, sym, doc = (np.concatenate(c) for c in cols)
-            keys = shards.keys(h1, h2, doc >> np.uint32(1))
+            *given, sym, doc = (np.concatenate(c) for c in cols)
+            before = given[2 * depth :]
+            keys = shards.keys(given[:depth], given[depth : 2 * depth], doc >> np.uint32(1))
             order = np.argsort(keys, kind="stable")
             keys = keys[order]
             to = shards.of(keys)
@@ -307,12 +446,13 @@ def _packed(docs: DataFrame, symbols: Symbols, shards: Shards, depth: int, log_m
                 whole = np.concatenate([np.repeat(symbols.of([END]), depth + 1), known])
                 h = symbols.hash([END] * (depth + 1) + tokens, whole)
                 codes, n = symbols.code(whole, h), len(h) - 1
-                cols[0].append(h[depth:n])
-                cols[1].append(h[depth - 1 : n - 1])
-                for d in range(1, depth):
-                    cols[1 + d].append(codes[depth - d : n - d])
-                cols[depth + 1].append(known.astype(np.uint32))
-                cols[depth + 2].append(np.full(len(tokens), len(rows) << 1 | held, np.uint32))
+                for d in range(depth):
+                    cols[d].append(h[depth - d : n - d])
+                    cols[depth + d].append(whole[depth - d : n - d].astype(np.uint32))
+                    if d:
+                        cols[2 * depth + d - 1].append(codes[depth - d : n - d])
+                cols[3 * depth - 1].append(known.astype(np.uint32))
+                cols[3 * depth].append(np.full(len(tokens), len(rows) << 1 | held, np.uint32))
                 unseen = np.flatnonzero(known == 0)
                 rare += [tokens[j] for j in unseen.tolist()]
                 rare_at.append((h[depth + 1 :][unseen], np.full(len(unseen), len(rows), np.uint32)))
@@ -334,7 +474,7 @@ def score(docs: DataFrame, depth: int = 3, least: int = 2, discount: float = 0.7
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     counts = materialize(word_counts(docs), "word-counts")
     symbols, total, kinds, least_known, p0 = known_words(counts, p_known)
-    shards = Shards(max(1, int(total * 7 // (6 * shard_rows))), *_common(docs, symbols, shard_rows))
+    shards = Shards(max(1, int(total * 7 // (6 * shard_rows))), _common(docs, symbols, shard_rows, depth))
     names = ["shard", "chunk", "blob"]
 
     def looked_up(table: pa.Table, known: pa.Table) -> pa.Table:
@@ -371,12 +511,13 @@ def score(docs: DataFrame, depth: int = 3, least: int = 2, discount: float = 0.7
         contexts = [h]
         for x in before:
             contexts.append(_mix(contexts[-1], x))
-        gain, _ = subtree(contexts, sym, doc & np.uint32(1) == 0, p0, least, discount, min_kl)
+        gain, _ = subtree(contexts, sym, doc & np.uint32(1) == 0, p0, least, discount, min_kl, _given(known.column("states").to_pylist(), h, sym, p0))
+        gain = np.round(gain * _GAIN)
         out = []
         for lo, hi in zip([0, *ends], ends, strict=False):
             which, place = np.unique(doc[lo:hi] >> np.uint32(1), return_inverse=True)
-            # in steps of 2**-16: whole numbers, whose few bytes pack well
-            out.append(_planes(np.diff(which, prepend=np.uint32(0)), np.round(np.bincount(place, gain[lo:hi]) * 65536).astype(np.int64).view(np.uint64)))
+            # whole numbers: equal texts gain alike, wherever their positions went
+            out.append(_planes(np.diff(which, prepend=np.uint32(0)), np.bincount(place, gain[lo:hi]).astype(np.int64).view(np.uint64)))
         return pa.Table.from_arrays([pa.array([0] * len(out), pa.int64()), pa.array(chunks, pa.int64()), pa.array(out, pa.binary())], names)
 
     def one_chunk(table: pa.Table) -> pa.Table:
@@ -399,11 +540,14 @@ def score(docs: DataFrame, depth: int = 3, least: int = 2, discount: float = 0.7
             more[at] += n
         base = about.column("base").to_numpy() + fine / _FINE
         n_known = about.column("n_known").to_numpy() + more
-        cols = [*[about.column(c).combine_chunks() for c in ("doc_id", "held_out", "n_tokens")], pa.array(n_known), pa.array(np.full(len(base), total, np.int64)), pa.array(base), pa.array(base + steps / 65536)]
+        cols = [*[about.column(c).combine_chunks() for c in ("doc_id", "held_out", "n_tokens")], pa.array(n_known), pa.array(np.full(len(base), total, np.int64)), pa.array(base), pa.array(base + steps / _GAIN)]
         return pa.Table.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     packed = _packed(docs, symbols, shards, depth, float(np.log10(total + kinds + 1)))
-    rare = counts.where(F.col("n") < least_known).select((F.crc32("word") % shards.homes + shards.n).alias("shard"), "word", "n")
+    rare = counts.where(F.col("n") < least_known).select((F.crc32("word") % shards.homes + shards.n).alias("shard"), "word", "n", F.lit(None).cast("binary").alias("states"))
+    if shards.common:
+        sums = materialize(common_counts(docs, symbols, shards, depth), "common-counts")
+        rare = rare.unionByName(_sent(common_states(sums, shards, p0, least, discount, min_kl), shards))
     back = packed.groupBy("shard").cogroup(rare.groupBy("shard")).applyInArrow(one_shard, _ROW)
     return back.groupBy("chunk").applyInArrow(one_chunk, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
