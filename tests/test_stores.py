@@ -233,7 +233,7 @@ def test_combiner(spark):
 
 def test_a_repeated_key_stops_the_blend(spark, monkeypatch):
     once = registry._bm25
-    monkeypatch.setattr(registry, "_bm25", lambda s, d: once(s, d).unionByName(once(s, d)))
+    monkeypatch.setattr(registry, "_bm25", lambda s, d, base: once(s, d, base=base).unionByName(once(s, d, base=base)))
     with pytest.raises(Exception, match="several times"):
         registry._both(spark, SF).collect()
 
