@@ -307,3 +307,34 @@ def test_attention_against_its_definition(spark):
             want = u @ vec[i] / np.linalg.norm(u)
         assert got[k, p] == pytest.approx(want, abs=1e-5)
     assert len(got) == len(cand)
+
+
+@pytest.mark.parametrize("stopwords,name", [(False, "bm25_stem_ranking"), (True, "bm25_stopwords_stem_ranking")])
+def test_stem_rankings_against_plain_python(spark, stopwords, name):
+    import re
+    from collections import Counter
+
+    from gazette.functions.text import ENGLISH
+
+    d = "/root/testdata/sf0.001"
+    found = {r.article_id: re.findall("[a-z0-9]+", (r.cleaned_text or "").lower()) for r in I.articles(spark, d).collect()}
+    terms = {i: Counter(english(t) for t in ts if not stopwords or t not in ENGLISH) for i, ts in found.items()}
+    size = {i: sum(c.values()) for i, c in terms.items()}
+    n, mean = len(terms), sum(size.values()) / len(terms)
+    df = Counter(t for c in terms.values() for t in c)
+    raw = {t: math.log((n - x + 0.5) / (x + 0.5)) for t, x in df.items()}
+    low = 0.25 * sum(raw.values()) / len(raw)
+    idf = {t: low if x < 0 else x for t, x in raw.items()}
+    cand = I.candidates(spark, d, "val").collect()
+    hist = {r.impression_id: [h.article_id for h in r.history] for r in registry._history(spark, d).collect()}
+    pools = {}
+    for r in cand:
+        query = Counter()
+        for h in hist.get(r.impression_id, []):
+            query.update(terms.get(h, {}))
+        own = terms.get(r.article_id, {})
+        s = sum(q * idf[t] * own[t] * 2.5 / (own[t] + 1.5 * (0.25 + 0.75 * size[r.article_id] / mean)) for t, q in query.items() if t in own)
+        pools.setdefault(r.impression_id, []).append((-round(max(s, 0) + S.TINY, 4), r.pos, r.article_id))
+    want = {(i, a): (k, -s) for i, pool in pools.items() for k, (s, _, a) in enumerate(sorted(pool), 1)}
+    got = {(r.impression_id, r.article_id): (r["rank"], r.score) for r in registry.QUERIES[name](spark, d).collect()}
+    assert got.keys() == want.keys() and all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 2e-4 for x in want)
