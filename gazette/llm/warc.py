@@ -4,8 +4,8 @@ ARC files (versions 1 and 2) begin with a version block that declares its length
 each document follows as a header line and as many bytes as the line declares. The converter parses these by the
 version's fields and makes WARC records of them: an identifier, the ISO timestamp, the type and SHA-1 digests of block
 and payload. Of records with equal payloads of at least ``least`` bytes that of the largest page id is the response, the
-others revisit it. Archives are text with a record separator as line end, gzipped, a file for each partition; they
-are read back whole files at a time, so a file is as large as one input split at most.
+others revisit it. Archives are text with a record separator as line end, gzipped. A new ARC file, with its own version block, begins when
+one has ROLL bytes, a WARC file after some records; they are read back whole files at a time.
 
 Defined cases: null html is an empty payload; a null or blank url is written as "-"; a null page_id has no field
 and reads back as null, never the target of a revisit while another holds the same payload; rows that repeat the
@@ -32,6 +32,8 @@ from gazette.llm.common import materialize, scratch, table
 BROADCAST_ROWS = 100_000
 #: Parts into which that join deals the holders of each payload.
 SALTS = 32
+#: Bytes of documents after which an ARC file ends; a larger document is a file of its own.
+ROLL = 16_000_000
 
 # The fields of a header line by version, and the first line's version number.
 ARC_FIELDS = {
@@ -45,35 +47,41 @@ def _blob(data: bytes) -> bytes:
     return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
 
 
-def write_arc(pages: DataFrame, path: str, date: str = "20240101000000") -> None:
-    """pages as ARC archives (odd partitions version 2), each document an HTTP response with its page id in a header."""
+def write_arc(pages: DataFrame, path: str, date: str = "20240101000000", roll: int = ROLL) -> None:
+    """pages as ARC archives of some `roll` bytes (odd partitions version 2), each document an HTTP response with its page id in a header."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
         version = 1 + part % 2
-        name = f"part-{part:05d}.arc"
-        begun = False
+        number, size, out = 0, 0, []
+
+        def file() -> pa.RecordBatch:
+            """What is held as one row, which is one file."""
+            fields = f"{version} 0 gazette\n{' '.join(ARC_FIELDS[version])}\n"
+            tail = ["text/plain"] if version == 1 else ["text/plain", "200", "-", "-", "0", f"part-{part:05d}.arc"]
+            begin = f"{' '.join([f'filedesc://part-{part:05d}-{number}.arc', '0.0.0.0', date, *tail, str(len(fields))])}\n{fields}"
+            return pa.RecordBatch.from_arrays([pa.array(["\n".join([begin, *out])], pa.string())], ["value"])
+
         for b in batches:
-            out = []
-            if not begun and b.num_rows:
-                fields = f"{version} 0 gazette\n{' '.join(ARC_FIELDS[version])}\n"
-                tail = ["text/plain"] if version == 1 else ["text/plain", "200", "-", "-", "0", name]
-                out.append(f"{' '.join([f'filedesc://{name}', '0.0.0.0', date, *tail, str(len(fields))])}\n{fields}")
-                begun = True
             for page, url, html in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
                 html = html or ""
-                size = len(html.encode())
-                head = ["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", f"Content-Length: {size}", *([f"X-Page-Id: {page}"] if page is not None else [])]
+                length = len(html.encode())
+                head = ["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", f"Content-Length: {length}", *([f"X-Page-Id: {page}"] if page is not None else [])]
                 block = CRLF.join([*head, "", ""]) + html
                 place = "".join((url or "-").split()) or "-"
-                mime = ["text/html"] if version == 1 else ["text/html", "200", "-", "-", "0", name]
+                mime = ["text/html"] if version == 1 else ["text/html", "200", "-", "-", "0", f"part-{part:05d}.arc"]
                 out.append(f"{' '.join([place, '0.0.0.0', date, *mime, str(len(block.encode()))])}\n{block}")
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+                size += length
+                if size >= roll:
+                    yield file()
+                    number, size, out = number + 1, 0, []
+        if out:
+            yield file()
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "value string")
-    rows.write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    rows.write.option("maxRecordsPerFile", 1).option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
 def arc_records(data: bytes) -> Iterator[dict]:
