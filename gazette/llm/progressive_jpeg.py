@@ -24,7 +24,7 @@ from gazette.llm.common import materialize, table
 
 SQL: dict[str, str] = {}
 #: Bytes of payload or media that are worked together, and blocks that the writer holds at once.
-BYTES_AT_ONCE, BLOCKS_AT_ONCE = 2_000_000, 32_768
+BYTES_AT_ONCE, BLOCKS_AT_ONCE = 4_000_000, 32_768
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
 _SIZE = np.zeros(1 << 16, np.uint8)  # bits of a magnitude
 for _i in range(16):
@@ -234,18 +234,24 @@ def encode(stores: list[np.ndarray], sizes: list[tuple[int, int]], sampling=PLAI
     coefs = np.concatenate(stores)
     base = np.r_[0, np.cumsum([len(s) for s in stores])]
     bodies: list[list[bytes]] = [[] for _ in stores]
-    for members, first, last, high, low in script:
+
+    @lru_cache
+    def laid(members: tuple[int, ...]) -> tuple:
+        """The blocks of a scan over all images, the segments of each image, and where segments begin."""
         parts = [scan_blocks(h, w, sampling, members) for h, w in sizes]
         per = parts[0][2]
-        blocks = np.concatenate([p[0] + b for p, b in zip(parts, base)])
-        kinds = np.concatenate([p[1] for p in parts])
-        mcus = np.array([len(p[0]) // per for p in parts])
+        count = np.array([len(p[0]) for p in parts])
+        blocks = np.concatenate([p[0] for p in parts]) + np.repeat(base[:-1], count)
+        mcus = count // per
         segments = -(-mcus // restart)
         upto = np.r_[0, np.cumsum(segments)]
         number = np.arange(upto[-1]) - np.repeat(upto[:-1], segments)
         image = np.repeat(np.arange(len(stores)), segments)
         held = np.minimum(restart, mcus[image] - number * restart) * per  # blocks of a segment
-        start = np.r_[0, np.cumsum(held)]
+        return per, blocks, np.concatenate([p[1] for p in parts]), segments, upto, number, image, held, np.r_[0, np.cumsum(held)]
+
+    for members, first, last, high, low in script:
+        per, blocks, kinds, segments, upto, number, image, held, start = laid(members)
         pieces, stops, s = [], [], 0
         while s < len(held):
             e = max(s + 1, int(np.searchsorted(start, start[s] + BLOCKS_AT_ONCE, "right")) - 1)
@@ -276,6 +282,52 @@ def encode(stores: list[np.ndarray], sizes: list[tuple[int, int]], sampling=PLAI
 # ---- reading ----
 
 
+# What markers say is kept by their bytes: files of one writer repeat them.
+
+
+@lru_cache(maxsize=256)
+def _quants(body: bytes) -> dict[int, np.ndarray]:
+    out = {}
+    while body:
+        wide = body[0] >> 4
+        out[body[0] & 15] = np.frombuffer(body[1 : 65 + 64 * wide], ">u2" if wide else np.uint8).astype(np.int64)
+        body = body[65 + 64 * wide :]
+    return out
+
+
+@lru_cache(maxsize=256)
+def _tables(body: bytes) -> dict[int, tuple[bytes, bytes]]:
+    out = {}
+    while body:
+        n = sum(body[1:17])
+        out[body[0]] = (body[1:17], body[17 : 17 + n])
+        lookup(*out[body[0]])
+        body = body[17 + n :]
+    return out
+
+
+@lru_cache(maxsize=1024)
+def _frame(body: bytes) -> dict:
+    depth, h, w, n = struct.unpack(">BHHB", body[:6])
+    parts = [body[6 + 3 * i : 9 + 3 * i] for i in range(n)]
+    if depth != 8 or not h or not w or n not in (1, 3) or any(not p[1] >> 4 or not p[1] & 15 for p in parts):
+        raise NotDecodable("a frame of another kind")
+    # one component is never interleaved: its factors mean nothing
+    return {"height": h, "width": w, "ids": tuple(p[0] for p in parts), "sampling": tuple((p[1] >> 4, p[1] & 15) for p in parts) if n > 1 else ((1, 1),), "tq": [p[2] for p in parts]}
+
+
+@lru_cache(maxsize=1024)
+def _scan(body: bytes, ids: tuple[int, ...]) -> tuple[dict, list[int]]:
+    """A scan as far as its header tells, and the tables that it needs."""
+    n = body[0]
+    members = tuple(ids.index(body[1 + 2 * i]) if body[1 + 2 * i] in ids else -1 for i in range(n))
+    first, last, bits = body[1 + 2 * n : 4 + 2 * n]
+    if -1 in members or not n or first > last or last > 63 or first and n > 1 or not first and last or bits >> 4 and bits >> 4 != (bits & 15) + 1:
+        raise NotDecodable("a scan of no progressive kind")
+    need = [] if not first and bits >> 4 else [body[2 + 2 * i] & 15 | 16 for i in range(n)] if first else [body[2 + 2 * i] >> 4 for i in range(n)]
+    return {"members": members, "first": first, "last": last, "refine": bits >> 4 > 0, "low": bits & 15}, need
+
+
 def _parsed(data: bytes, marks: list[int], offset: int) -> dict:
     """What the markers of one file say. marks: places of markers in the batch that aren't restarts; offset: where the file begins in it."""
     out: dict = {"scans": [], "notes": []}
@@ -300,22 +352,11 @@ def _parsed(data: bytes, marks: list[int], offset: int) -> dict:
             raise NotDecodable("a marker is cut")
         at += 2 + size
         if kind == 0xDB:
-            while body:
-                wide = body[0] >> 4
-                quant[body[0] & 15] = np.frombuffer(body[1 : 65 + 64 * wide], ">u2" if wide else np.uint8).astype(np.int64)
-                body = body[65 + 64 * wide :]
+            quant |= _quants(body)
         elif kind == 0xC4:
-            while body:
-                n = sum(body[1:17])
-                tables[body[0]] = (body[1:17], body[17 : 17 + n])
-                body = body[17 + n :]
+            tables |= _tables(body)
         elif kind == 0xC2:
-            depth, h, w, n = struct.unpack(">BHHB", body[:6])
-            parts = [body[6 + 3 * i : 9 + 3 * i] for i in range(n)]
-            if depth != 8 or not h or not w or n not in (1, 3) or any(not p[1] >> 4 or not p[1] & 15 for p in parts):
-                raise NotDecodable("a frame of another kind")
-            # one component is never interleaved: its factors mean nothing
-            out |= {"height": h, "width": w, "ids": [p[0] for p in parts], "sampling": tuple((p[1] >> 4, p[1] & 15) for p in parts) if n > 1 else ((1, 1),), "tq": [p[2] for p in parts]}
+            out |= _frame(body)
         elif 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
             raise NotDecodable("not progressive")
         elif kind == 0xDD:
@@ -325,17 +366,12 @@ def _parsed(data: bytes, marks: list[int], offset: int) -> dict:
         elif kind == 0xDA:
             if "ids" not in out:
                 raise NotDecodable("a scan without a frame")
-            n = body[0]
-            members = tuple(out["ids"].index(body[1 + 2 * i]) if body[1 + 2 * i] in out["ids"] else -1 for i in range(n))
-            first, last, bits = body[1 + 2 * n : 4 + 2 * n]
-            if -1 in members or not n or first > last or last > 63 or first and n > 1 or not first and last or bits >> 4 and bits >> 4 != (bits & 15) + 1:
-                raise NotDecodable("a scan of no progressive kind")
-            need = [] if not first and bits >> 4 else [body[2 + 2 * i] & 15 | 16 for i in range(n)] if first else [body[2 + 2 * i] >> 4 for i in range(n)]
+            about, need = _scan(body, out["ids"])
             if any(t not in tables for t in need):
                 raise NotDecodable("a table is missing")
             k = bisect_left(marks, offset + at)
             end = marks[k] - offset if k < len(marks) else len(data)
-            out["scans"].append({"members": members, "first": first, "last": last, "refine": bits >> 4 > 0, "low": bits & 15, "tables": [tables[t] for t in need], "restart": restart, "from": at, "to": min(end, len(data))})
+            out["scans"].append(about | {"tables": tuple(tables[t] for t in need), "restart": restart, "from": at, "to": min(end, len(data))})
             at = min(end, len(data))
     if not out["scans"] or any(t not in quant for t in out["tq"]):
         raise NotDecodable("no scan, or no quantisation")
@@ -345,10 +381,13 @@ def _parsed(data: bytes, marks: list[int], offset: int) -> dict:
     return out
 
 
-def _waves(scans: list[dict]) -> None:
-    """A scan comes after the earlier ones that it shares coefficients with."""
-    for i, s in enumerate(scans):
-        s["wave"] = 1 + max((x["wave"] for x in scans[:i] if set(x["members"]) & set(s["members"]) and x["first"] <= s["last"] and s["first"] <= x["last"]), default=-1)
+@lru_cache(maxsize=1024)
+def _waves(scans: tuple[tuple[tuple[int, ...], int, int], ...]) -> list[int]:
+    """When each scan (components, first, last) is decoded: after the earlier ones that it shares coefficients with."""
+    out: list[int] = []
+    for i, (members, first, last) in enumerate(scans):
+        out.append(1 + max((out[j] for j, (m, f, t) in enumerate(scans[:i]) if set(m) & set(members) and f <= last and first <= t), default=-1))
+    return out
 
 
 class _Lanes:
@@ -518,10 +557,8 @@ def decode(files: list[bytes]) -> list[dict | None]:
     for data, offset in zip(files, offsets):
         try:
             one = _parsed(data, marks, offset)
-            for s in one["scans"]:
-                for t in s["tables"]:
-                    lookup(*t)
-            _waves(one["scans"])
+            for s, wave in zip(one["scans"], _waves(tuple((s["members"], s["first"], s["last"]) for s in one["scans"]))):
+                s["wave"] = wave
             one["base"] = total
             total += geometry(one["height"], one["width"], one["sampling"])[1]
         except (NotDecodable, IndexError, struct.error, ValueError):
@@ -545,7 +582,7 @@ def decode(files: list[bytes]) -> list[dict | None]:
                 continue
             blocks.append(at + one["base"])
             kinds.append(kind)
-            key = tuple(s["tables"])
+            key = s["tables"]
             if key not in luts:  # the tables of a scan's components stand in a row
                 luts[key] = len(tables)
                 tables += [lookup(*t) for t in key]
