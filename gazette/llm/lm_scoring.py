@@ -284,25 +284,50 @@ def _common(docs: DataFrame, symbols: Symbols, rows: int, depth: int) -> list[di
     return [first, *({int(np.int64(r.code).view(np.uint64)): int(np.ceil(r.m / _LOOK / most)) for r in found if r.level == d} for d in range(2, depth + 1))]
 
 
-def common_counts(docs: DataFrame, symbols: Symbols, shards: Shards, depth: int) -> DataFrame:
-    """c (the number of a common context, shorter ones first), up (that of its suffix), sym, n: how often each symbol follows in training rows (0: in others alone), summed over all tasks."""
+def _counted(sym: np.ndarray, n: np.ndarray) -> bytes:
+    """Symbols that rise, and a count of each."""
+    return _planes(np.diff(sym, prepend=0).astype(np.uint32), n.astype(np.int64))
+
+
+def _added(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of packed counts."""
+    parts = [_columns(b, np.uint32, np.int64) for b in blobs]
+    sym, back = np.unique(np.concatenate([np.cumsum(p[0], dtype=np.int64) for p in parts]), return_inverse=True)
+    return sym, np.bincount(back, np.concatenate([p[1] for p in parts]), len(sym)).astype(np.int64)
+
+
+def common_counts(docs: DataFrame, symbols: Symbols, shards: Shards, depth: int, tokens: int, fan_in: int = 32) -> DataFrame:
+    """c (the number of a common context, shorter ones first), up (that of its suffix), counts: how often each symbol follows in training rows (0: in others alone).
+
+    A task packs a row for each context that it meets; these are summed in a tree, from some million tokens on, so a context that all tasks meet is no large group.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide = len(symbols.counts)
-        texts, held, size = [], [], 0
+        from pyspark import TaskContext
 
-        def out() -> pa.RecordBatch:
+        wide, part = len(symbols.counts), TaskContext.get().partitionId()
+        texts, held, size, found = [], [], 0, [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        above = np.full(shards.offsets[-1] + 1, -1)
+
+        def count() -> None:
             sym, known, text = _befores(texts, symbols, depth)
             train = ~np.array(held)[text]
-            parts, up = [], np.full(len(sym), -1)
+            up = np.full(len(sym), -1)
             for d, (at, which) in enumerate(shards.met(known)):
                 c = which + shards.offsets[d]
+                above[c] = up[at]
                 key, back = np.unique(c * wide + sym[at], return_inverse=True)
-                lead = np.empty(len(key), np.int64)
-                lead[back] = up[at]
-                parts.append((key // wide, lead, key % wide, np.bincount(back, train[at], len(key)).astype(np.int64)))
+                found.append((key, np.bincount(back, train[at], len(key)).astype(np.int64)))
                 up[at] = c
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[i] for p in parts]), pa.int64()) for i in range(4)], ["c", "up", "sym", "n"])
+            key, back = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+            found[:] = [(key, np.bincount(back, np.concatenate([f[1] for f in found]), len(key)).astype(np.int64))]
+
+        def out() -> pa.RecordBatch:
+            key, n = found[0]
+            c = key // wide
+            edges = [0, *(np.flatnonzero(np.diff(c)) + 1).tolist(), len(c)] if len(c) else [0]
+            rows = [(int(c[lo]), int(above[c[lo]]), part, _counted(key[lo:hi] % wide, n[lo:hi])) for lo, hi in zip(edges, edges[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows)) or [[]] * 4, [pa.int64()] * 3 + [pa.binary()])], ["c", "up", "part", "counts"])
 
         for b in batches:
             for text, h in zip(b.column("text").to_pylist(), b.column("held_out").to_pylist()):
@@ -310,49 +335,57 @@ def common_counts(docs: DataFrame, symbols: Symbols, shards: Shards, depth: int)
                 held.append(h)
                 size += len(text)
                 if size > 8 * _AT_ONCE:
-                    yield out()
+                    count()
                     texts, held, size = [], [], 0
+                    if len(found[0][0]) > 4 * _AT_ONCE:
+                        yield out()
+                        found[:] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         if texts:
-            yield out()
+            count()
+        yield out()
 
-    return _input(docs).select("text", "held_out").mapInArrow(run, "c long, up long, sym long, n long").groupBy("c", "up", "sym").agg(F.sum("n").alias("n"))
+    def add(t: pa.Table) -> pa.Table:
+        return pa.table({"c": t.column("c")[:1], "up": t.column("up")[:1], "part": t.column("part")[:1], "counts": pa.array([_counted(*_added(t.column("counts").to_pylist()))], pa.binary())})
 
+    sums = _input(docs).select("text", "held_out").mapInArrow(run, "c long, up long, part long, counts binary")
+    left = max(1, tokens // (4 * _AT_ONCE))
+    while True:
+        sums = sums.groupBy("c", "up", (F.col("part") % left).alias("node")).applyInArrow(add, "c long, up long, part long, counts binary")
+        if left == 1:
+            return sums.select("c", "up", "counts")
+        left = -(-left // fan_in)
 
-def common_states(counts: DataFrame, shards: Shards, p0: np.ndarray, least: int, discount: float, min_kl: float) -> DataFrame:
-    """c, sym, p: the probabilities that the states of common contexts give, length by length, as a context rests on its suffix's. A context is a group, of as many rows as there are symbols at most."""
+
+def common_states(counts: DataFrame, shards: Shards, p0: np.ndarray, least: int, discount: float, min_kl: float) -> list[DataFrame]:
+    """c, state: the packed symbols and probabilities that the states of common contexts give, length by length, as a context rests on its suffix's."""
 
     def state(t: pa.Table) -> pa.Table:
-        t = t.sort_by("sym")
-        sym, n, below = (t.column(x).to_numpy() for x in ("sym", "n", "below"))
-        below = p0[sym] if np.isnan(below).all() else below
+        sym, n = _added(t.column("counts").to_pylist())
+        below = p0[sym]
+        if t.column("below").null_count == 0:
+            syms, p = _columns(t.column("below")[0].as_py(), np.uint32, np.float64)
+            below = p[np.searchsorted(syms, sym)]
         # one context: what stands for it is a position for each symbol, with its count
-        return pa.table({"c": t.column("c"), "sym": t.column("sym"), "p": _smoothed(n, below, np.zeros(len(n), np.int64), 1, least, discount, min_kl)[0]})
+        new = _smoothed(n, below, np.zeros(len(n), np.int64), 1, least, discount, min_kl)[0]
+        return pa.table({"c": t.column("c"), "state": pa.array([_planes(sym.astype(np.uint32), new)], pa.binary())})
 
-    none, found = F.lit(float("nan")), None
+    found: list[DataFrame] = []
     for d in range(len(shards.common)):
         rows = counts.where((F.col("c") >= shards.offsets[d]) & (F.col("c") < shards.offsets[d + 1]))
-        if d:
-            rows = rows.join(found[-1].select(F.col("c").alias("up"), "sym", F.col("p").alias("below")), ["up", "sym"])
-        else:
-            rows = rows.withColumn("below", none)
-        level = materialize(rows.select("c", "sym", "n", "below").groupBy("c").applyInArrow(state, "c long, sym long, p double"), "states")
-        found = [*(found or []), level]
-    out = found[0]
-    for level in found[1:]:
-        out = out.unionByName(level)
-    return out
+        rows = rows.join(found[-1].select(F.col("c").alias("up"), F.col("state").alias("below")), "up") if d else rows.withColumn("below", F.lit(None).cast("binary"))
+        found.append(materialize(rows.select("c", "counts", "below").groupBy("c").applyInArrow(state, "c long, state binary"), "states"))
+    return found
 
 
-def _sent(states: DataFrame, shards: Shards) -> DataFrame:
+def _sent(states: list[DataFrame], shards: Shards) -> DataFrame:
     """shard, word (none), n (none), states: each common context's state to every shard that has a part of its positions."""
 
     def send(t: pa.Table) -> pa.Table:
-        c = t.column("c")[0].as_py()
+        c, body = t.column("c")[0].as_py(), t.column("state")[0].as_py()
         d = int(np.searchsorted(shards.offsets, c, "right")) - 1
         codes, parts = shards.common[d]
         keys = shards.part_keys(codes[c - shards.offsets[d]], np.arange(parts[c - shards.offsets[d]]))
         to = shards.of(keys)
-        body = _planes(t.column("sym").to_numpy().astype(np.uint32), t.column("p").to_numpy())
         where = np.unique(to)
         blobs = []
         for s in where.tolist():
@@ -360,7 +393,10 @@ def _sent(states: DataFrame, shards: Shards) -> DataFrame:
             blobs.append(np.array([d + 1, len(mine)], np.int64).tobytes() + mine + body)
         return pa.table({"shard": where, "word": pa.array([b""] * len(where), pa.binary()), "n": pa.array([0] * len(where), pa.int64()), "states": pa.array(blobs, pa.binary())})
 
-    return states.groupBy("c").applyInArrow(send, "shard long, word binary, n long, states binary")
+    out = states[0]
+    for level in states[1:]:
+        out = out.unionByName(level)
+    return out.groupBy("c").applyInArrow(send, "shard long, word binary, n long, states binary")
 
 
 def _given(sent: list[bytes], h: np.ndarray, sym: np.ndarray, p0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -379,8 +415,7 @@ def _given(sent: list[bytes], h: np.ndarray, sym: np.ndarray, p0: np.ndarray) ->
         who = owner[order][at[hit]]
         for i, (level, _, syms, values) in enumerate(rows):
             some = mine[who == i]
-            by = np.argsort(syms)
-            p[some] = values[by][np.searchsorted(syms[by], sym[some])]
+            p[some] = values[np.searchsorted(syms, sym[some])]
             given[some] = level
     return p, given
 
@@ -546,7 +581,7 @@ def score(docs: DataFrame, depth: int = 3, least: int = 2, discount: float = 0.7
     packed = _packed(docs, symbols, shards, depth, float(np.log10(total + kinds + 1)))
     rare = counts.where(F.col("n") < least_known).select((F.crc32("word") % shards.homes + shards.n).alias("shard"), "word", "n", F.lit(None).cast("binary").alias("states"))
     if shards.common:
-        sums = materialize(common_counts(docs, symbols, shards, depth), "common-counts")
+        sums = materialize(common_counts(docs, symbols, shards, depth, total), "common-counts")
         rare = rare.unionByName(_sent(common_states(sums, shards, p0, least, discount, min_kl), shards))
     back = packed.groupBy("shard").cogroup(rare.groupBy("shard")).applyInArrow(one_shard, _ROW)
     return back.groupBy("chunk").applyInArrow(one_chunk, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
