@@ -151,10 +151,19 @@ class Shards:
     A context's code is made of its words' symbols, the last word first; every word of a common context is a known one.
     """
 
-    def __init__(self, n: int, common: list[dict[int, int]]):
+    def __init__(self, n: int, common: list[dict[int, int]], kinds: int):
+        """kinds: how many symbols there are."""
         self.n, self.homes = n, 4 * n + 60  # shards of positions, and of rare words behind them
         self.common = [(np.array(sorted(x), np.uint64), np.array([x[c] for c in sorted(x)], np.int64)) for x in common]
         self.offsets = np.r_[0, np.cumsum([len(x) for x in common], dtype=np.int64)].tolist()
+        self.first = np.full(kinds, -1, np.int32)  # the number of a common word by its symbol
+        if common:
+            hit, at = self.find(self.common[0][0], self.word_codes(np.arange(kinds)))
+            self.first[hit] = at[hit]
+
+    @staticmethod
+    def word_codes(symbols: np.ndarray) -> np.ndarray:
+        return _mix(np.zeros(len(symbols), np.uint64), symbols.astype(np.uint64))
 
     @staticmethod
     def find(known: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,8 +174,16 @@ class Shards:
 
     def met(self, known: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each length the positions whose context is common, and its number among those of the length. known: symbols of the words before, the last first."""
-        at, code = np.arange(len(known[0])), np.zeros(len(known[0]), np.uint64)
-        for (codes, _), words in zip(self.common, known):
+        if not self.common:
+            return
+        which = self.first[known[0]]
+        at = np.flatnonzero(which >= 0)
+        which = which[at].astype(np.int64)
+        code = self.common[0][0][which]
+        yield at, which
+        for (codes, _), words in zip(self.common[1:], known[1:]):
+            common = self.first[words[at]] >= 0  # only common words make common contexts
+            at, code = at[common], code[common]
             code = _mix(code, words[at].astype(np.uint64))
             hit, which = self.find(codes, code)
             at, code = at[hit], code[hit]
@@ -262,15 +279,15 @@ def _common(docs: DataFrame, symbols: Symbols, rows: int, depth: int) -> list[di
     many = np.flatnonzero(symbols.counts > most)
     if not len(many):
         return []
-    first = dict(zip(_mix(np.zeros(len(many), np.uint64), many.astype(np.uint64)).tolist(), np.ceil(symbols.counts[many] / most).astype(int).tolist()))
+    first = dict(zip(Shards.word_codes(many).tolist(), np.ceil(symbols.counts[many] / most).astype(int).tolist()))
     hot = np.zeros(len(symbols.counts), bool)
     hot[many] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             _, known, _ = _befores(b.column("text").to_pylist(), symbols, depth)
-            at, code, level, codes = np.flatnonzero(hot[known[0]]), None, [], []
-            code = _mix(np.zeros(len(at), np.uint64), known[0][at].astype(np.uint64))
+            at, level, codes = np.flatnonzero(hot[known[0]]), [], []
+            code = Shards.word_codes(known[0][at])
             for d in range(1, depth):
                 go = hot[known[d][at]]  # only common words make common contexts
                 at, code = at[go], _mix(code[go], known[d][at[go]].astype(np.uint64))
@@ -306,24 +323,25 @@ def common_counts(docs: DataFrame, symbols: Symbols, shards: Shards, depth: int,
         from pyspark import TaskContext
 
         wide, part = len(symbols.counts), TaskContext.get().partitionId()
-        texts, held, size, found = [], [], 0, [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        texts, held, size, found = [], [], 0, []
         above = np.full(shards.offsets[-1] + 1, -1)
 
         def count() -> None:
             sym, known, text = _befores(texts, symbols, depth)
-            train = ~np.array(held)[text]
+            train = 1 - np.array(held, np.int64)[text]
             up = np.full(len(sym), -1)
             for d, (at, which) in enumerate(shards.met(known)):
                 c = which + shards.offsets[d]
                 above[c] = up[at]
-                key, back = np.unique(c * wide + sym[at], return_inverse=True)
-                found.append((key, np.bincount(back, train[at], len(key)).astype(np.int64)))
                 up[at] = c
-            key, back = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-            found[:] = [(key, np.bincount(back, np.concatenate([f[1] for f in found]), len(key)).astype(np.int64))]
+                key = np.sort((c * wide + sym[at]) << 1 | train[at])
+                new = np.flatnonzero(np.r_[True, key[1:] >> 1 != key[:-1] >> 1]) if len(key) else key
+                found.append((key[new] >> 1, np.add.reduceat(key & 1, new) if len(key) else key))
 
         def out() -> pa.RecordBatch:
-            key, n = found[0]
+            key, back = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+            n = np.bincount(back, np.concatenate([f[1] for f in found]), len(key)).astype(np.int64)
+            found.clear()
             c = key // wide
             edges = [0, *(np.flatnonzero(np.diff(c)) + 1).tolist(), len(c)] if len(c) else [0]
             rows = [(int(c[lo]), int(above[c[lo]]), part, _counted(key[lo:hi] % wide, n[lo:hi])) for lo, hi in zip(edges, edges[1:])]
@@ -337,12 +355,12 @@ def common_counts(docs: DataFrame, symbols: Symbols, shards: Shards, depth: int,
                 if size > 8 * _AT_ONCE:
                     count()
                     texts, held, size = [], [], 0
-                    if len(found[0][0]) > 4 * _AT_ONCE:
+                    if sum(len(f[0]) for f in found) > 4 * _AT_ONCE:
                         yield out()
-                        found[:] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         if texts:
             count()
-        yield out()
+        if found:
+            yield out()
 
     def add(t: pa.Table) -> pa.Table:
         return pa.table({"c": t.column("c")[:1], "up": t.column("up")[:1], "part": t.column("part")[:1], "counts": pa.array([_counted(*_added(t.column("counts").to_pylist()))], pa.binary())})
@@ -509,7 +527,7 @@ def score(docs: DataFrame, depth: int = 3, least: int = 2, discount: float = 0.7
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     counts = materialize(word_counts(docs), "word-counts")
     symbols, total, kinds, least_known, p0 = known_words(counts, p_known)
-    shards = Shards(max(1, int(total * 7 // (6 * shard_rows))), _common(docs, symbols, shard_rows, depth))
+    shards = Shards(max(1, int(total * 7 // (6 * shard_rows))), _common(docs, symbols, shard_rows, depth), len(symbols.counts))
     names = ["shard", "chunk", "blob"]
 
     def looked_up(table: pa.Table, known: pa.Table) -> pa.Table:
