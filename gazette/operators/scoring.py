@@ -25,12 +25,10 @@ BROADCAST_TERMS, QUERY_BLOCK, VECTOR_BLOCK, ARTICLE_BLOCK = 1_000_000, 2048, 819
 def corpus(articles: DataFrame, lang: str = "en", stopwords: bool = False, stem: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(tf: article_id, term, tf, dl), (idf: term, df, idf), (stats: n, avgdl). Negative idf becomes a quarter of the mean.
 
-    Texts are cut into tokens once; df, stats and both sides of a score read the counts. stem: terms become their stems, after stop words went.
+    Texts are cut into tokens once and counted where they lie, so tokens are not shuffled; df, stats and both sides of a score read the counts.
+    An article is one row. stem: terms become their stems, after stop words went.
     """
-    doc = articles.select("article_id", tokens(F.col("cleaned_text"), lang, stopwords).alias("t"))
-    # a row without a term stands for each article, so that those without tokens count
-    held = doc.select("article_id", F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "t")).alias("term"))
-    held = held.groupBy("article_id", "dl", "term").agg(F.count("*").alias("tf"))
+    held = _term_counts(articles.select("article_id", tokens(F.col("cleaned_text"), lang, stopwords).alias("t")))
     if stem:
         held = reused(held, "plain-counts")
         stemmed = held.join(small(stems(held.where("term IS NOT NULL"), lang), BROADCAST_TERMS), "term", "left")
@@ -45,9 +43,41 @@ def corpus(articles: DataFrame, lang: str = "en", stopwords: bool = False, stem:
     return tf, idf, stats
 
 
-def weights(articles: DataFrame, lang: str = "en", stopwords: bool = False, k1: float = K1, b: float = B, stem: bool = False) -> DataFrame:
-    """article_id, term, tf, w: what each term of an article adds to a score, by its frequency there."""
+def _term_counts(docs: DataFrame) -> DataFrame:
+    """article_id, dl, term, tf of rows (article_id, t: tokens); a row without a term stands for each article, so that those without tokens count."""
+    import numpy as np
+    import pyarrow as pa
+
+    names = ["article_id", "dl", "term", "tf"]
+
+    def some(ids: pa.Array, t: pa.Array) -> pa.RecordBatch:
+        size = np.diff(t.offsets.to_numpy())
+        coded = t.flatten().dictionary_encode()
+        key, n = np.unique(np.repeat(np.arange(len(size)), size) * max(len(coded.dictionary), 1) + coded.indices.to_numpy(), return_counts=True)
+        row, term = np.divmod(key, max(len(coded.dictionary), 1))
+        all_ = np.arange(len(size))
+        owner = np.concatenate([all_, row])
+        terms = pa.concat_arrays([pa.nulls(len(size), pa.string()), coded.dictionary.take(pa.array(term)).cast(pa.string())])
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), pa.array(size[owner].astype(np.int32)), terms, pa.array(np.concatenate([np.ones(len(size), np.int64), n]))], names)
+
+    def run(batches):
+        for b in batches:
+            ids, t = b.column("article_id"), b.column("t")
+            ends, i = np.cumsum(np.diff(t.offsets.to_numpy())), 0
+            while i < b.num_rows:  # some million tokens at once
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + 2_000_000, "right")))
+                yield some(ids[i:j], t[i:j])
+                i = j
+
+    kind = docs.schema["article_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"article_id {kind}, dl int, term string, tf long")
+
+
+def weights(articles: DataFrame, lang: str = "en", stopwords: bool = False, k1: float = K1, b: float = B, stem: bool = False, only: DataFrame | None = None) -> DataFrame:
+    """article_id, term, tf, w: what each term of an article adds to a score, by its frequency there. only: the articles (article_id) to give, where they are few enough to be sent to the tasks."""
     tf, idf, stats = corpus(articles, lang, stopwords, stem)
+    if only is not None and only.count() <= BROADCAST_TERMS:
+        tf = tf.join(F.broadcast(only), "article_id", "left_semi")
     joined = tf.join(small(idf, BROADCAST_TERMS), "term").join(F.broadcast(stats))  # one row
     return joined.select("article_id", "term", "tf", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("w"))
 
@@ -175,8 +205,9 @@ def bm25(cand: DataFrame, histories: DataFrame, articles: DataFrame, lang: str =
     """
     h = history_rows(histories).groupBy("impression_id", F.col("article_id").alias("h")).agg(F.count("*").alias("times"))
     met = cand.select("impression_id", "article_id").distinct().join(h, "impression_id")
-    pairs = met.select("h", "article_id").distinct()
-    weight = weights(articles, lang, stopwords, k1, b, stem)
+    pairs = reused(met.select("h", "article_id").distinct(), "article-pairs")
+    # the whole corpus tells what a term weighs, but only these articles are scored
+    weight = weights(articles, lang, stopwords, k1, b, stem, pairs.select(F.explode(F.array("h", "article_id")).alias("article_id")).distinct())
     query = weight.select(F.col("article_id").alias("h"), "term", F.col("tf").alias("qtf"))
     scored = pairs.join(query, "h").join(weight.select("article_id", "term", "w"), ["article_id", "term"]).groupBy("h", "article_id").agg(F.sum(F.col("qtf") * F.col("w")).alias("s"))
     total = met.join(scored, ["h", "article_id"]).groupBy("impression_id", "article_id").agg(F.sum(F.col("times") * F.col("s")).alias("s"))
