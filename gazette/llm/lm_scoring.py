@@ -455,8 +455,14 @@ def _packed(docs: DataFrame, symbols: Symbols, shards: Shards, depth: int, log_m
         rare_at: list[tuple[np.ndarray, np.ndarray]] = []  # hashes and text of the rare words
         size = 0
 
+        def whole_of(parts: list[np.ndarray]) -> np.ndarray:
+            """Parts as one array; they are let go of."""
+            x = np.concatenate(parts)
+            parts.clear()
+            return x
+
         def out() -> pa.RecordBatch:
-            *given, sym, doc = (np.concatenate(c) for c in cols)
+            *given, sym, doc = map(whole_of, cols)
             before = given[2 * depth :]
             keys = shards.keys(given[:depth], given[depth : 2 * depth], doc >> np.uint32(1))
             order = np.argsort(keys, kind="stable")
@@ -515,8 +521,6 @@ def _packed(docs: DataFrame, symbols: Symbols, shards: Shards, depth: int, log_m
                     yield out()
                     chunk, size, rows = chunk + 1, 0, []
                     rare, rare_at = [], []
-                    for c in cols:
-                        c.clear()
         if rows:
             yield out()
 
