@@ -205,3 +205,50 @@ def test_passages_with_fragments_between(spark):
     got = {(r.doc_a, r.doc_b) for r in passages.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     held = {x for p in want for x in p}
     assert got <= want.keys() and len(held) > 75 and len({x for p in got for x in p}) >= 0.95 * len(held)
+
+
+def test_no_pair_is_lost_among_fragments(spark):
+    """Edited holders of a passage among texts with a part of it: all pairs are reported, and those of holders that have a seed many times."""
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    rows = []
+    for _ in range(6):
+        base = some(80)
+        for _ in range(8):
+            own = list(base)
+            for _ in range(rng.randint(2, 5)):
+                own[rng.randrange(len(own))] = rng.choice(vocabulary)
+            rows.append(some(30) + own + some(30))
+        for _ in range(12):
+            a = rng.randrange(50)
+            rows.append(some(60) + base[a : a + 30] + some(60))
+    rng.shuffle(rows)
+    texts = {i: " ".join(w) for i, w in enumerate(rows)}
+    want = all_pairs(texts)
+    got = {(r.doc_a, r.doc_b) for r in passages.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == want.keys() and len(got) > 150
+
+
+def test_each_two_holders_meet():
+    rng = np.random.default_rng(2)
+    rows = sorted({(int(h), int(d), int(p)) for h, d, p in zip(rng.integers(0, 12, 900), rng.integers(0, 9, 900), rng.integers(0, 400, 900), strict=True)} | {(50, d, 0) for d in range(passages.ALL)} | {(51, d, 0) for d in range(passages.ALL + 1)} | {(52, 3, p) for p in range(200)} | {(52, 4, 7), (53, 1, 1)})
+    h, doc, pos = (np.array(c) for c in zip(*rows, strict=True))
+    a, b, left = passages._each(h.astype(np.uint64), doc, h != 50)
+    got = set(zip(a.tolist(), b.tolist(), strict=True))
+    assert len(got) == len(a) and set(h[left].tolist()) == {50, 51}
+    want = {(h[i], doc[i], doc[j]) for i in range(len(h)) for j in range(i + 1, len(h)) if h[i] == h[j] and doc[i] < doc[j] and h[i] not in (50, 51)}
+    assert {(h[i], doc[i], doc[j]) for i, j in got} == want and all(h[i] == h[j] for i, j in got)
+    most = passages._each(h.astype(np.uint64), doc, h != 50, 3000)
+    assert set(h[most[2]].tolist()) == {50} and len(most[0]) == len(a) + passages.ALL * (passages.ALL + 1) // 2
+    small = {int(x) for x in set(h.tolist()) - {50, 51} if (h == x).sum() <= passages.ALL}
+    assert {(i, j) for i, j in got if h[i] in small} == {(i, j) for i in range(len(h)) for j in range(len(h)) if h[i] == h[j] and doc[i] < doc[j] and h[i] in small}
+
+
+def test_a_passage_of_many_texts_links_all_of_them(spark):
+    rng = random.Random(4)
+    some = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared = some(60)
+    texts = [(i, f"{some(20)} {shared} {some(20)}") for i in range(100)]
+    got = {(r.doc_a, r.doc_b) for r in passages.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {(i, j) for j in range(100) for i in range(j)}
