@@ -252,3 +252,25 @@ def test_a_passage_of_many_texts_links_all_of_them(spark):
     texts = [(i, f"{some(20)} {shared} {some(20)}") for i in range(100)]
     got = {(r.doc_a, r.doc_b) for r in passages.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got == {(i, j) for j in range(100) for i in range(j)}
+
+
+def test_chains_of_many_pairs_are_those_of_each():
+    """Scored at once, with parts cut off at far matches, or pair by pair with the tree: the same matches are chained, but for ties."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(300):
+        a = np.cumsum(rng.integers(1, (4, 60, 900)[i % 3], 40))
+        b = a + rng.integers(0, 500) if i % 2 else np.cumsum(rng.integers(1, 50, 40))
+        some = set(zip(a.tolist(), b.tolist(), strict=True)) if i % 5 else {(int(x), int(y)) for x in a[:9] for y in b[:9]} | {(2**21 + 7, 2**22), (2**21 + 30, 2**22 + 23)}
+        rows += [(i, x, y) for x, y in sorted(some, key=lambda _: rng.random())][: rng.integers(1, 90)]
+    pair, x, y = np.array(rows).T
+    lead, start, xs, ys = passages._all_chains(pair, x, y, 4)
+    ends = np.r_[start, len(xs)]
+    got, want = {}, {}
+    for i, lo, hi in zip(lead.tolist(), ends, ends[1:], strict=False):
+        got.setdefault(i, set()).add((tuple(xs[lo:hi].tolist()), tuple(ys[lo:hi].tolist())))
+    for i in range(300):
+        if found := passages.chains(x[pair == i], y[pair == i], 4):
+            want[i] = {(tuple(p.tolist()), tuple(q.tolist())) for p, q in found}
+    assert got.keys() == want.keys() and len(got) > 150
+    assert all(got[i] == want[i] for i in want if i % 5)
